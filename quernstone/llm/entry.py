@@ -9,6 +9,25 @@ from pyspark.sql import DataFrame, SparkSession
 from quernstone.session import table
 
 
+def op2_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quernstone.llm.warc import archive_path, read_warc, write_warc
+
+    path = archive_path(spark)
+    write_warc(table(spark, sf_dir, "pages"), path)
+    return read_warc(spark, path, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+OP2_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
+d AS (SELECT page_id, octet_length(encode(body)) AS payload_bytes, sha256(body) AS payload_digest FROM p),
+f AS (SELECT payload_digest, min(page_id) AS first_id FROM d WHERE payload_bytes >= 100 GROUP BY payload_digest)
+SELECT d.page_id, CAST(d.payload_bytes AS BIGINT) AS payload_bytes, d.payload_digest,
+       CASE WHEN f.first_id IS NULL OR f.first_id = d.page_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN f.first_id IS NULL OR f.first_id = d.page_id THEN NULL ELSE f.first_id END AS refers_to
+FROM d LEFT JOIN f ON d.payload_digest = f.payload_digest AND d.payload_bytes >= 100
+"""
+
+
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quernstone.llm.mixing import mix
 
@@ -16,9 +35,9 @@ def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op4_mix_sources]
+    found = [op2_warc_round_trip, op4_mix_sources]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_warc_round_trip": OP2_SQL}
