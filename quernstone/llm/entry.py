@@ -34,8 +34,24 @@ def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).drop("_h")
 
 
+def op7_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from quernstone.llm.pii import find_pii, joined
+
+    base = ("email", "ip", "card", "phone")
+    found = find_pii(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+    def count(kind: str):
+        return F.size(F.filter("pii", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    counts = [count(kind) for kind in base]
+    kept = joined(F.filter("pii", lambda s: s["kind"].isin(*base)))
+    return found.select("doc_id", "pii").select("doc_id", *counts, F.sha2(kept.cast("binary"), 256).alias("base_sha256"), joined(F.col("pii")).alias("spans"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op2_warc_round_trip, op4_mix_sources]
+    found = [op2_warc_round_trip, op4_mix_sources, op7_pii_spans]
     return {f.__name__: f for f in found}
 
 
