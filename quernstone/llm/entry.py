@@ -28,6 +28,18 @@ FROM d LEFT JOIN f ON d.payload_digest = f.payload_digest AND d.payload_bytes >=
 """
 
 
+def op3_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+    from pyspark.sql import functions as F
+
+    from quernstone.llm.bpe import decode, encode
+
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    done = decode(encode(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN), path, public_tokenizers.PATTERN)
+    ids = F.concat_ws(",", F.col("ids").cast("array<string>"))
+    return done.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids.cast("binary"), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quernstone.llm.mixing import mix
 
@@ -51,7 +63,7 @@ def op7_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op2_warc_round_trip, op4_mix_sources, op7_pii_spans]
+    found = [op2_warc_round_trip, op3_bpe_round_trip, op4_mix_sources, op7_pii_spans]
     return {f.__name__: f for f in found}
 
 
