@@ -114,6 +114,28 @@ def lower_ascii(data: np.ndarray) -> np.ndarray:
     return data + (((data >= 65) & (data <= 90)).astype(np.uint8) << np.uint8(5))
 
 
+#: Ids in the sample that sets range bounds: at most a few times this many reach the driver.
+SAMPLE = 20_000
+
+
+def range_bounds(ids: DataFrame, column: str, parts: int) -> list[int]:
+    """At most ``parts - 1`` ascending cut points, the same for the same rows."""
+    n = ids.count()
+    every = max(1, n // SAMPLE)
+    kept = ids.filter(F.col(column).isNotNull() & (F.pmod(F.xxhash64(column), F.lit(every)) == 0)).select(column)
+    sample = sorted(r[0] for r in kept.distinct().limit(4 * SAMPLE).collect()) if n else []
+    return sorted({sample[len(sample) * k // parts] for k in range(1, parts)}) if sample else []
+
+
+def shard_of(column: Column, bounds: list[int]) -> Column:
+    """How many bounds are at most the value: a binary search in the JVM."""
+    if not bounds:
+        return F.lit(0)
+    cuts, top = F.lit(bounds), 1 << (len(bounds).bit_length() - 1)
+    steps = F.array(*[F.lit(top >> k) for k in range(top.bit_length())])
+    return F.aggregate(steps, F.lit(0), lambda at, s: F.when((at + s <= len(bounds)) & (F.get(cuts, at + s - 1) <= column), at + s).otherwise(at))
+
+
 def size_in_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 

@@ -46,6 +46,21 @@ def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).drop("_h")
 
 
+def op5_simhash_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from quernstone.llm.simhash import as_hex, likeness, near, with_edits
+    from quernstone.session import stage
+
+    done = stage(with_edits(table(spark, sf_dir, "documents")), "simhash")
+    asks = F.col("doc_id") % 50 == 0
+    found = near(done.filter(asks).select("fp").distinct(), done.groupBy("fp").agg(F.count("*").alias("n")))
+    counts = found.groupBy(F.col("query").alias("fp")).agg((F.sum("n") - 1).alias("_near"))
+    columns = [as_hex(F.col("fp")).alias("fingerprint"), as_hex(F.col("edited_fp")).alias("edited_fingerprint"), likeness(F.col("fp"), F.col("edited_fp")).alias("near_edited"), likeness(F.col("fp"), F.col("next_fp")).alias("near_next")]
+    # n_near: for ids divisible by 50, how many other documents' fingerprints are within three bits
+    return done.join(counts, "fp", "left").select("doc_id", "n_chars", "edited_sha256", *columns, F.when(asks, F.col("_near")).alias("n_near"))
+
+
 def op7_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import functions as F
 
@@ -63,7 +78,7 @@ def op7_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op2_warc_round_trip, op3_bpe_round_trip, op4_mix_sources, op7_pii_spans]
+    found = [op2_warc_round_trip, op3_bpe_round_trip, op4_mix_sources, op5_simhash_edits, op7_pii_spans]
     return {f.__name__: f for f in found}
 
 

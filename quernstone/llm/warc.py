@@ -1,7 +1,7 @@
 """A deterministic sharded WARC writer, and its reader.
 
 Records are range-sorted by id: bounds come from a hash sample of the ids whose size is bounded
-(``SAMPLE``), so the same table always gives the same shards. Each task streams its sorted range into
+(``common.SAMPLE``), so the same table always gives the same shards. Each task streams its sorted range into
 gzip members, one per record, and starts a new file when the compressed size reaches ``roll_bytes``.
 Headers and digests are made anew from the payload. A file is written under a temporary name with the
 task's attempt in it and then renamed; the manifest, itself committed as a table, lists the files that
@@ -29,13 +29,12 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyarrow import fs as pafs
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quernstone.llm.common import range_bounds, shard_of
 from quernstone.session import stage, staged_path
 
-#: Ids in the sample that sets the shards' bounds: at most about twice this many reach the driver.
-SAMPLE = 20_000
 SHARD_BYTES = 32 << 20
 MANIFEST = "file string, records long, bytes long, sha256 string"
 RECORD = "record_id string, record_type string, uri string, page_id long, payload binary, payload_bytes long, payload_digest string, refers_to long"
@@ -48,24 +47,6 @@ def open_fs(path: str) -> tuple[pafs.FileSystem, str]:
     return pafs.LocalFileSystem(), path
 
 
-def range_bounds(ids: DataFrame, column: str, parts: int) -> list[int]:
-    """At most ``parts - 1`` ascending cut points, the same for the same rows."""
-    n = ids.count()
-    every = max(1, n // SAMPLE)
-    kept = ids.filter(F.col(column).isNotNull() & (F.pmod(F.xxhash64(column), F.lit(every)) == 0)).select(column)
-    sample = sorted(r[0] for r in kept.distinct().limit(4 * SAMPLE).collect()) if n else []
-    return sorted({sample[len(sample) * k // parts] for k in range(1, parts)}) if sample else []
-
-
-def shard_of(column: Column, bounds: list[int]) -> Column:
-    """How many bounds are at most the value: a binary search in the JVM."""
-    if not bounds:
-        return F.lit(0)
-    cuts, top = F.lit(bounds), 1 << (len(bounds).bit_length() - 1)
-    steps = F.array(*[F.lit(top >> k) for k in range(top.bit_length())])
-    return F.aggregate(steps, F.lit(0), lambda at, s: F.when((at + s <= len(bounds)) & (F.get(cuts, at + s - 1) <= column), at + s).otherwise(at))
-
-
 def _record(fields: list[tuple[str, str]], block: bytes) -> bytes:
     fields = [*fields, ("WARC-Block-Digest", "sha256:" + hashlib.sha256(block).hexdigest()), ("Content-Length", str(len(block)))]
     head = "WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in fields) + "\r\n"
