@@ -9,6 +9,20 @@ from pyspark.sql import DataFrame, SparkSession
 from quernstone.session import table
 
 
+#: Chain order of the labels at hand.
+CATEGORIES = ["quality", "toxic"]
+
+
+def op1_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from quernstone.llm.toxicity import score, train
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = score(docs, train(docs, table(spark, sf_dir, "labels"), CATEGORIES))
+    return scored.select("doc_id", F.round("p_quality", 6).alias("p_quality"), F.round("p_toxic", 6).alias("p_toxic"), F.col("is_toxic").alias("toxic"))
+
+
 def op2_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quernstone.llm.warc import archive_path, read_warc, write_warc
 
@@ -78,7 +92,7 @@ def op7_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op2_warc_round_trip, op3_bpe_round_trip, op4_mix_sources, op5_simhash_edits, op7_pii_spans]
+    found = [op1_toxicity_chain, op2_warc_round_trip, op3_bpe_round_trip, op4_mix_sources, op5_simhash_edits, op7_pii_spans]
     return {f.__name__: f for f in found}
 
 
