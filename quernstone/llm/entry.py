@@ -91,8 +91,14 @@ def op7_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "pii").select("doc_id", *counts, F.sha2(kept.cast("binary"), 256).alias("base_sha256"), joined(F.col("pii")).alias("spans"))
 
 
+def op10_jaccard_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quernstone.llm.jaccard import jaccard_components
+
+    return jaccard_components(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_toxicity_chain, op2_warc_round_trip, op3_bpe_round_trip, op4_mix_sources, op5_simhash_edits, op7_pii_spans]
+    found = [op1_toxicity_chain, op2_warc_round_trip, op3_bpe_round_trip, op4_mix_sources, op5_simhash_edits, op7_pii_spans, op10_jaccard_components]
     return {f.__name__: f for f in found}
 
 
