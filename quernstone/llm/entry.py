@@ -75,6 +75,15 @@ def op5_simhash_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.join(counts, "fp", "left").select("doc_id", "n_chars", "edited_sha256", *columns, F.when(asks, F.col("_near")).alias("n_near"))
 
 
+def op6_anchor_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from quernstone.llm.anchors import remove_repeats
+
+    done = remove_repeats(table(spark, sf_dir, "documents"))
+    return done.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op7_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import functions as F
 
@@ -98,7 +107,7 @@ def op10_jaccard_components(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_toxicity_chain, op2_warc_round_trip, op3_bpe_round_trip, op4_mix_sources, op5_simhash_edits, op7_pii_spans, op10_jaccard_components]
+    found = [op1_toxicity_chain, op2_warc_round_trip, op3_bpe_round_trip, op4_mix_sources, op5_simhash_edits, op6_anchor_repeats, op7_pii_spans, op10_jaccard_components]
     return {f.__name__: f for f in found}
 
 
