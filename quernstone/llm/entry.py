@@ -100,6 +100,15 @@ def op7_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "pii").select("doc_id", *counts, F.sha2(kept.cast("binary"), 256).alias("base_sha256"), joined(F.col("pii")).alias("spans"))
 
 
+def op9_parse_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from quernstone.llm.prefix_parse import remove_repeats
+
+    done = remove_repeats(table(spark, sf_dir, "documents"))
+    return done.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op10_jaccard_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quernstone.llm.jaccard import jaccard_components
 
@@ -107,7 +116,7 @@ def op10_jaccard_components(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_toxicity_chain, op2_warc_round_trip, op3_bpe_round_trip, op4_mix_sources, op5_simhash_edits, op6_anchor_repeats, op7_pii_spans, op10_jaccard_components]
+    found = [op1_toxicity_chain, op2_warc_round_trip, op3_bpe_round_trip, op4_mix_sources, op5_simhash_edits, op6_anchor_repeats, op7_pii_spans, op9_parse_repeats, op10_jaccard_components]
     return {f.__name__: f for f in found}
 
 
