@@ -100,6 +100,14 @@ def op7_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "pii").select("doc_id", *counts, F.sha2(kept.cast("binary"), 256).alias("base_sha256"), joined(F.col("pii")).alias("spans"))
 
 
+def op8_descent_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from quernstone.llm.ann import nearest
+
+    return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op9_parse_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import functions as F
 
@@ -116,7 +124,7 @@ def op10_jaccard_components(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_toxicity_chain, op2_warc_round_trip, op3_bpe_round_trip, op4_mix_sources, op5_simhash_edits, op6_anchor_repeats, op7_pii_spans, op9_parse_repeats, op10_jaccard_components]
+    found = [op1_toxicity_chain, op2_warc_round_trip, op3_bpe_round_trip, op4_mix_sources, op5_simhash_edits, op6_anchor_repeats, op7_pii_spans, op8_descent_neighbours, op9_parse_repeats, op10_jaccard_components]
     return {f.__name__: f for f in found}
 
 
