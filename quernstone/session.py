@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,6 +24,16 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
+def share_code(spark: SparkSession) -> None:
+    """Lets Python workers of this machine import the package from where the driver has it.
+
+    On a cluster the package is installed on the executors or sent with ``--py-files``.
+    """
+    env, root = spark.sparkContext.environment, str(Path(__file__).resolve().parent.parent)
+    if root not in env.get("PYTHONPATH", "").split(":"):
+        env["PYTHONPATH"] = ":".join([root, *filter(None, [env.get("PYTHONPATH")])])
+
+
 def staged_path(spark: SparkSession, label: str) -> str:
     """A fresh path for one intermediate table."""
     return f"{shared_dir(spark)}/quernstone/{label}-{uuid.uuid4().hex}"
@@ -30,10 +41,12 @@ def staged_path(spark: SparkSession, label: str) -> str:
 
 def stage(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: a lineage cut that survives lost executors."""
+    share_code(df.sparkSession)
     path = staged_path(df.sparkSession, label)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    share_code(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
