@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quernstone.functions import records as r
-from quernstone.operators import audit, bootstrap, dedup, features, graph, hits, metrics, splits, synthetic
+from quernstone.operators import audit, batching, bootstrap, dedup, features, graph, hits, metrics, reports, splits, synthetic
 from quernstone.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -455,6 +455,59 @@ def split_gap(spark, sf_dir):
     return bootstrap.intervals(bootstrap.differences(values, ["method"], "split", "O", "F", METRICS), ["method"], METRICS)
 
 
+@query()
+def performance_summary(spark, sf_dir):
+    """Gated metrics of each split and method with intervals."""
+    return reports.summary(long_star(spark, sf_dir), CELL, "component", SEGMENTS, "summary:{split}:{method}", 200)
+
+
+BINS = [str(k) for k in range(14)]
+
+
+@query(STAR + """, b AS (SELECT *, CAST(component % 13 AS VARCHAR) AS bin FROM long), grid AS (SELECT split, method, unnest(list_transform(range(14), lambda k: CAST(k AS VARCHAR))) AS bin FROM (SELECT DISTINCT split, method FROM b)),
+g AS (SELECT split, method, bin, count(*) AS n, count(DISTINCT component) AS c, count(*) FILTER (truth = predicted) / count(*) AS accuracy FROM b GROUP BY ALL),
+j AS (SELECT *, CASE WHEN n < 5 OR c < 3 THEN 'privacy_suppressed' WHEN n < 20 THEN 'insufficient_sequences' WHEN c < 10 THEN 'insufficient_components_for_ci' ELSE 'reportable' END AS st FROM g)
+SELECT split, method, bin, coalesce(st, 'privacy_suppressed') AS status, CASE WHEN n IS NULL OR n < 5 THEN '<5' WHEN st = 'privacy_suppressed' THEN '<5' ELSE CAST(n AS VARCHAR) END AS rows, CASE WHEN st IN ('reportable', 'insufficient_components_for_ci') THEN round(accuracy, 9) END AS accuracy FROM grid LEFT JOIN j USING (split, method, bin)""")
+def stratified_summary(spark, sf_dir):
+    rows = long_star(spark, sf_dir).withColumn("bin", (F.col("component") % 13).cast("string"))
+    done = reports.stratified(rows, CELL, "bin", BINS, "component", SEGMENTS)
+    return done.select(*CELL, "bin", "status", "rows", F.round("accuracy", 9).alias("accuracy"))
+
+
+@query()
+def class_errors(spark, sf_dir):
+    """Per-class rates gated by the true class; the rates themselves are those of ``per_class``."""
+    return reports.class_errors(long_star(spark, sf_dir), CELL, "component", SEGMENTS)
+
+
+@query()
+def model_comparisons(spark, sf_dir):
+    return reports.comparisons(long_star(spark, sf_dir), ["split"], [("a", "b")], "component", SEGMENTS, "compare:{split}", 200)
+
+
+@query()
+def seed_diagnostics(spark, sf_dir):
+    """How far interval bounds move between three seeds."""
+    rows, out = long_star(spark, sf_dir), None
+    for seed in (2026, 3407, 42):
+        one = reports.summary(rows, CELL, "component", SEGMENTS, "seeds:{split}:{method}", 100, seed).withColumn("seed", F.lit(seed))
+        out = one if out is None else out.unionByName(one)
+    return reports.seed_shifts(out, [*CELL, "metric"], 2026)
+
+
+@query(STAR + STRATA + ", o AS (SELECT split, method, status, CASE status WHEN 'reportable' THEN 1 WHEN 'insufficient_components_for_ci' THEN 2 WHEN 'insufficient_sequences' THEN 3 ELSE 4 END AS k FROM judged) SELECT split, method, arg_max(status, k) AS status FROM o GROUP BY ALL")
+def least_status(spark, sf_dir):
+    rows = long_star(spark, sf_dir).withColumn("stratum", F.col("component") % 13)
+    return reports.least_status(reports.gated(rows, [*CELL, "truth", "stratum"], "component"), CELL)
+
+
+@query()
+def token_batches(spark, sf_dir):
+    """Records in batches under a padded budget; a sequential fold, held against hand-made cases in tests."""
+    rows = records(spark, sf_dir).select("doc_id", F.length("seq").cast("long").alias("n"))
+    return batching.batching_statistics(batching.token_batches(rows, "n", "doc_id", 20_000, shards=8), "n")
+
+
 # ---- lineage and text ----
 
 CHANGED = """WITH old AS (SELECT p_partkey, p_name, p_brand, p_type FROM part WHERE p_partkey % 50 <> 3), new AS (SELECT p_partkey, p_name, CASE WHEN p_partkey % 20 = 1 THEN 'Brand#new' ELSE p_brand END AS p_brand, CASE WHEN p_partkey % 30 = 1 THEN NULL ELSE p_type END AS p_type FROM part WHERE p_partkey % 40 <> 5)

@@ -160,3 +160,45 @@ def test_streaming_ingest(spark, tmp_path):
     done = validated(stream, "s", "at").writeStream.format("memory").queryName("valid").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     done.awaitTermination(120)
     assert spark.table("valid").count() == 1
+
+
+def test_token_batches(spark):
+    from quernstone.operators.batching import batching_statistics, pack, token_batches
+
+    assert pack([2, 3, 3, 5, 9, 12], 10) == [0, 0, 0, 1, 2, 3]
+    df = spark.createDataFrame([(1, 2), (2, 3), (3, 5), (4, 12)], "id long, n long")
+    done = token_batches(df, "n", "id", 10)
+    assert rows(done, "id", "batch") == [(1, 0), (2, 0), (3, 1), (4, 2)]
+    got = batching_statistics(done, "n").first()
+    assert (got["batches"], got["most"]) == (3, 2) and got["efficiency"] == pytest.approx(22 / 23)
+
+
+def test_paged_download():
+    import gzip
+
+    from quernstone.sources.paged import Page, delay, download
+
+    pages = {
+        "https://h/1": [Page(503), Page(200, {"link": '<https://h/2>; rel="next"', "x-total-results": "3"}, b"a\tb\r\n1\t2\r\n3\t4\r\n")],
+        "https://h/2": [Page(200, {"x-total-results": "3"}, b"a\tb\n5\t6\n")],
+    }
+    waits = []
+    body, counts = download(lambda u: pages[u].pop(0), "https://h/1", ["a", "b"], waits.append)
+    assert gzip.decompress(body) == b"a\tb\n1\t2\n3\t4\n5\t6\n" and counts == [2, 1] and waits == [1.0]
+    assert delay(3, 1.0, 60.0, Page(429, {"retry-after": "9"})) == 9.0 and delay(9, 1.0, 60.0, None) == 60.0
+    with pytest.raises(ValueError, match="circle"):
+        download(lambda u: Page(200, {"link": f'<{u}>; rel="next"'}, b"a\n1\n"), "https://h/1", ["a"])
+    with pytest.raises(ValueError, match="another host"):
+        download(lambda u: Page(200, {"link": '<https://g/2>; rel="next"'}, b"a\n1\n"), "https://h/1", ["a"])
+
+
+def test_bundle_never_replaces(tmp_path):
+    from quernstone.sources.bundle import publish
+
+    publish(tmp_path / "b", {"x/y.txt": b"1"})
+    assert (tmp_path / "b/x/y.txt").read_bytes() == b"1"
+    with pytest.raises(FileExistsError):
+        publish(tmp_path / "b", {"z": b"2"})
+    with pytest.raises(ValueError):
+        publish(tmp_path / "c", {"../z": b"2"})
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["b"]
