@@ -27,7 +27,7 @@ from quernstone.llm import exchange as x
 from quernstone.llm.common import chunked, prefix_sums, spans_hash, strings, with_row_key, word_bounds, word_hashes
 from quernstone.session import stage
 
-CHUNK, BUCKET = 8 << 20, 4_000_000
+CHUNK, BUCKET = 1 << 20, 4_000_000
 PER_DOC = "_i long, _h long, at binary"
 
 

@@ -48,19 +48,17 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
-_POWERS: dict[tuple[int, int], np.ndarray] = {}
+_POWERS: dict[int, np.ndarray] = {}
 
 
 def powers(base: int, n: int) -> np.ndarray:
-    """base**0 .. base**(n-1), modulo 2**64; kept between batches and grown by doubling."""
-    for sign in (0,):
-        known = _POWERS.get((base, sign))
-        if known is None or len(known) < n:
-            size = max(1 << 12, 1 << max(0, n - 1).bit_length())
-            known = np.ones(size, dtype=np.uint64)
-            known[1:] = np.uint64(base)
-            np.multiply.accumulate(known, out=known)
-            _POWERS[(base, sign)] = known
+    """base**0 .. base**(n-1), modulo 2**64; kept between batches, in steps of 2**18."""
+    known = _POWERS.get(base)
+    if known is None or len(known) < n:
+        known = np.full(((max(n, 1) + (1 << 18) - 1) >> 18) << 18, base, dtype=np.uint64)
+        known[0] = 1
+        np.multiply.accumulate(known, out=known)
+        _POWERS[base] = known
     return known[:n]
 
 
