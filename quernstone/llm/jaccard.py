@@ -3,11 +3,11 @@
 A document's set is its distinct shingles of ``words`` words, lower-cased in A-Z. Sets of equal content
 count as one. Sizes form bands in which the largest is at most the smallest divided by the threshold;
 linked sets lie in one band or in neighbours, so a set signs for its own band and the next. In a
-band with largest size r, linked sets differ in at most k = 2 r (1 - t) / (1 + t) shingles: the shingle
-domain is cut into k + 1 + e parts, so linked sets agree on at least e + 1 whole parts, and each part's
-content is a signature. (Of the enumeration's two levels only the first is used: subsets of one part.)
-A part without shingles says little; it is signed only by sets with more than e such parts, since with
-at most e of them some agreed part has content. e is set by the band, not by the data.
+band with largest size r, linked sets differ in at most k = 2 r (1 - t) / (1 + t) shingles. The shingle
+domain is cut into parts, each part into cells, and the content of every choice of all but a few cells
+of a part is a signature: linked sets agree on some choice in at least e + 1 parts (see ``Band``). A
+signature without shingles says little; it is given only by sets that have such in more than e parts,
+since with at most e of them some agreed signature has content. e is set by the band, not by the data.
 
 Sets that share a signature are candidates. They are joined to the first set of each signature, never
 to each other in pairs; components of those stars are groups that no link leaves. Each group is then
@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +37,9 @@ from quernstone.operators.graph import components
 from quernstone.session import stage
 
 #: Bytes of text worked on at once, signatures in a bucket, sets and shingles in a block of a group.
-CHUNK, BUCKET, BLOCK, BLOCK_SHINGLES = 4 << 20, 4_000_000, 512, 1_000_000
+CHUNK, BUCKET, BLOCK, BLOCK_SHINGLES = 1 << 20, 4_000_000, 512, 1_000_000
+#: Shingles that a signature of a band's smallest set should hold on average.
+LEAST_CONTENT = 7
 
 
 def shingle_sets(column: pa.Array, words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -68,56 +71,81 @@ def set_keys(h: np.ndarray, row: np.ndarray, n: int) -> tuple[np.ndarray, np.nda
     return size, a, b
 
 
+class Band:
+    """How sets of one band sign: ``parts`` first-level parts of the shingle domain, each cut into ``cells``.
+
+    A linked pair differs in at most k shingles, so at least ``spare + 1`` parts hold at most ``loose``
+    differences each, and in these some choice of ``cells - loose`` cells is equal. The cheapest numbers
+    are taken that leave ``LEAST_CONTENT`` shingles in a signature of the band's smallest set.
+    """
+
+    def __init__(self, percent: int, low: int, high: int):
+        k = 2 * (100 - percent) * high // (100 + percent)
+        least = max(1, math.ceil(low * percent / 100))
+        best = None
+        for loose in range(0, min(k, 6) + 1):
+            for cells in range(loose + 1, loose + 6 if loose else 2):
+                choices, base, spare = math.comb(cells, loose), -(-(k + 1) // (loose + 1)), 0
+                for _ in range(20):
+                    parts = base + spare
+                    content = least / parts * (cells - loose) / cells
+                    empty = parts * choices * math.exp(-content)
+                    if parts == 1 or spare >= empty + 3 * math.sqrt(empty):
+                        break
+                    spare += 1
+                cost = parts * choices
+                if cost <= 6 * k + 60:
+                    rank = (content < LEAST_CONTENT, cost if content >= LEAST_CONTENT else -content)
+                    if best is None or rank < best[0]:
+                        best = (rank, parts, spare, loose, cells)
+        _, self.parts, self.spare, self.loose, self.cells = best
+        self.choices = [list(c) for c in combinations(range(self.cells), self.cells - self.loose)]
+
+
 class Bands:
-    """Band of each size, and for each band its parts and how many empty ones are ignored."""
+    """The bands up to a size, and the one after."""
 
     def __init__(self, percent: int, largest: int):
-        self.ends, self.parts, self.spare = [0], [0], [0]
+        self.ends, self.bands = [0], [None]
         low = 1
         while self.ends[-1] < largest or len(self.ends) < 3:
             high = max(low, low * 100 // percent)
-            self._add(percent, low, high)
+            self.ends.append(high)
+            self.bands.append(Band(percent, low, high))
             low = high + 1
-        self._add(percent, low, max(low, low * 100 // percent))
-        self.ends_, self.parts_, self.spare_ = (np.array(x, dtype=np.int64) for x in (self.ends, self.parts, self.spare))
-
-    def _add(self, percent: int, low: int, high: int) -> None:
-        k = 2 * (100 - percent) * high // (100 + percent)
-        least, spare = max(1, math.ceil(low * percent / 100)), 0
-        for _ in range(50):
-            parts = k + 1 + spare
-            empty = parts * math.exp(-least / parts)
-            if parts == 1 or spare >= empty + 3 * math.sqrt(empty):
-                break
-            spare += 1
-        self.ends.append(high)
-        self.parts.append(k + 1 + spare)
-        self.spare.append(spare)
+        self.bands.append(Band(percent, low, max(low, low * 100 // percent)))
 
     def of(self, size: np.ndarray) -> np.ndarray:
-        return np.searchsorted(self.ends_, size)
+        return np.searchsorted(np.array(self.ends), size)
 
 
 def signatures(h: np.ndarray, row: np.ndarray, size: np.ndarray, bands: Bands) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit signatures and their rows."""
-    out, rows = [], []
+    """64-bit signatures and their rows; rows of size 0 have none."""
+    out, rows = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
     own = bands.of(size)
-    mixed, content = mix64(h ^ np.uint64(0x5851F42D4C95)), mix64(h)
-    for step in (0, 1):
-        band = own + step
-        parts = np.where(size > 0, bands.parts_[band], 0)
-        base = np.concatenate([[0], np.cumsum(parts)])
-        slot = base[row] + (mixed % np.maximum(parts, 1).astype(np.uint64)[row]).astype(np.int64)
-        total = np.zeros(base[-1], np.uint64)
-        np.add.at(total, slot, content)
-        filled = np.bincount(slot, minlength=base[-1]) > 0
-        of = np.repeat(np.arange(len(size)), parts)
-        part = np.arange(base[-1]) - base[of]
-        empty = np.bincount(of, weights=~filled, minlength=len(size)) if len(of) else np.zeros(len(size))
-        keep = filled | (empty > bands.spare_[band])[of]
-        tag = band[of].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + part.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
-        out.append(mix64(mix64(tag) + total)[keep])
-        rows.append(of[keep])
+    place, content = mix64(h ^ np.uint64(0x5851F42D4C95)), mix64(h)
+    first = np.searchsorted(row, np.arange(len(size) + 1))
+    for number in np.unique(own[size > 0]):
+        doc = np.flatnonzero((own == number) & (size > 0))
+        at = np.concatenate([np.arange(first[d], first[d + 1]) for d in doc])
+        of = np.repeat(np.arange(len(doc)), size[doc])
+        for step in (0, 1):
+            band = bands.bands[number + step]
+            part = (place[at] % np.uint64(band.parts)).astype(np.int64)
+            cell = ((place[at] // np.uint64(band.parts)) % np.uint64(band.cells)).astype(np.int64)
+            slot = (of * band.parts + part) * band.cells + cell
+            slots = len(doc) * band.parts * band.cells
+            total = np.zeros(slots, np.uint64)
+            np.add.at(total, slot, content[at])
+            total, filled = total.reshape(-1, band.cells), (np.bincount(slot, minlength=slots) > 0).reshape(-1, band.cells)
+            tag = np.tile(np.arange(band.parts, dtype=np.uint64), len(doc)) + np.uint64((int(number) + step) << 32)
+            sums = np.stack([total[:, c].sum(axis=1, dtype=np.uint64) for c in band.choices], axis=1)
+            some = np.stack([filled[:, c].any(axis=1) for c in band.choices], axis=1)
+            weak = (~some.all(axis=1)).reshape(len(doc), band.parts).sum(axis=1) > band.spare
+            keep = some | np.repeat(weak, band.parts)[:, None]
+            tag = mix64(mix64(tag)[:, None] + np.arange(len(band.choices), dtype=np.uint64)[None, :])
+            out.append(mix64(tag + sums)[keep])
+            rows.append(np.repeat(np.repeat(doc, band.parts), len(band.choices)).reshape(keep.shape)[keep])
     return np.concatenate(out), np.concatenate(rows)
 
 
@@ -141,7 +169,7 @@ def _sign(words: int, percent: int, largest: int, buckets: int):
             cuts = np.flatnonzero(np.diff(bucket, prepend=-1))
             for begin, end in zip(cuts, np.append(cuts[1:], len(bucket))):
                 own, counts = np.unique(of[begin:end], return_counts=True)
-                keys = np.ascontiguousarray(sig[begin:end]).view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+                keys = np.ascontiguousarray(sig[begin:end]).view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
                 yield pa.RecordBatch.from_arrays([pa.array([bucket[begin]], pa.int32()), pa.array([keys]), pa.array([a[own].tobytes()]), pa.array([counts.astype(np.uint32).tobytes()])], schema=SIGNED)
 
     return run
@@ -177,9 +205,9 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     yield table(pairs)
                 if b != bucket:
                     bucket, known, firsts = b, np.zeros(0, np.uint64), np.zeros(0, np.uint64)
-            raw = np.frombuffer(keys.as_buffer(), np.uint8).reshape(-1, 6)
+            raw = np.frombuffer(keys.as_buffer(), np.uint8).reshape(-1, 5)
             wide = np.zeros((len(raw), 8), np.uint8)
-            wide[:, :6] = raw
+            wide[:, :5] = raw
             held.append((wide.view(np.uint64).ravel(), np.repeat(np.frombuffer(sets.as_buffer(), np.uint64), np.frombuffer(counts.as_buffer(), np.uint32))))
             size += len(raw)
     if held and len(pairs := flush()):
@@ -284,7 +312,7 @@ def jaccard_components(docs: DataFrame, words: int = 4, percent: int = 85, id_co
     whole = known.agg(F.max("n").alias("largest"), F.sum("n").alias("total")).first()
     largest, total = int(whole["largest"] or 0), int(whole["total"] or 0)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    buckets = max(parts, int(total * 0.4) // BUCKET)
+    buckets = max(parts, int(total * 0.9) // BUCKET)
 
     signed = rows.select("text").mapInArrow(_sign(words, percent, largest, buckets), "bucket int, keys binary, sets binary, counts binary")
     stars = signed.repartitionById(buckets, F.col("bucket")).sortWithinPartitions("bucket").mapInArrow(_stars, "left long, right long")
