@@ -32,7 +32,7 @@ from quernstone.llm import exchange as x
 from quernstone.llm.common import chunked, mix64, prefix_sums, spans_hash, strings, with_row_key
 from quernstone.session import stage
 
-CHUNK, BUCKET = 2 << 20, 1_000_000
+CHUNK, BUCKET = 1 << 20, 1_000_000
 LOWEST = -(1 << 63)
 #: Bits of a sort key that hold a place; the rest are the upper bits of the hash.
 PLACE = np.uint64(31)
