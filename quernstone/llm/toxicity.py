@@ -36,10 +36,10 @@ _WORDS = re.compile(r"[^\W\d_]+")
 
 
 def features(word: str) -> list[int]:
-    """Hashed features of one word: itself and its character grams."""
+    """Hashed features of one word: itself and its distinct character grams."""
     framed = f"^{word}$"
-    grams = {framed[i : i + GRAM] for i in range(max(1, len(framed) - GRAM + 1))}
-    return [zlib.crc32(g.encode()) % DIM for g in (f"w:{word}", *sorted(grams))]
+    grams = {framed[i : i + GRAM]: None for i in range(max(1, len(framed) - GRAM + 1))}
+    return [zlib.crc32(g.encode()) % DIM for g in (f"w:{word}", *grams)]
 
 
 def words(text: str | None) -> set[str]:
@@ -69,12 +69,11 @@ def _sigmoid(z):
 class _Rows:
     """Sparse counts of training rows."""
 
-    def __init__(self, lists: list[np.ndarray]):
-        self.n = len(lists)
-        ids = np.concatenate([*lists, np.zeros(0, np.int64)]).astype(np.int64)
-        row = np.repeat(np.arange(self.n), [len(x) for x in lists])
-        keys, counts = np.unique(row * DIM + ids, return_counts=True)
-        self.row, self.id, self.count = keys // DIM, keys % DIM, counts.astype(float)
+    def __init__(self, ids: list[np.ndarray], counts: list[np.ndarray]):
+        self.n = len(ids)
+        self.row = np.repeat(np.arange(self.n, dtype=np.int32), [len(x) for x in ids])
+        self.id = np.concatenate([*ids, np.zeros(0, np.int32)]).astype(np.int32)
+        self.count = np.concatenate([*counts, np.zeros(0, np.int32)]).astype(np.float32)
 
     def only(self, kept: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         keep = kept[self.id]
@@ -121,9 +120,9 @@ def predict(model: Model, rows: _Rows, earlier: np.ndarray) -> np.ndarray:
     return _sigmoid(np.bincount(rows.row, weights=rows.count * model.weights[rows.id], minlength=rows.n) + earlier @ model.earlier + model.intercept)
 
 
-def fit_chain(lists: list[np.ndarray], labels: dict[str, np.ndarray], fold: np.ndarray) -> Chain:
-    """``lists``: each row's features; ``labels``: by category in chain order, NaN where unknown."""
-    rows, chain = _Rows(lists), Chain(list(labels))
+def fit_chain(ids: list[np.ndarray], counts: list[np.ndarray], labels: dict[str, np.ndarray], fold: np.ndarray) -> Chain:
+    """``ids``, ``counts``: each row's features; ``labels``: by category in chain order, NaN where unknown."""
+    rows, chain = _Rows(ids, counts), Chain(list(labels))
     before = np.zeros((rows.n, 0))
     for name, y in labels.items():
         known = ~np.isnan(y)
@@ -158,17 +157,18 @@ def train(docs: DataFrame, labels: DataFrame, categories: list[str], id_col: str
 
     def run(batches):
         for batch in batches:
-            found = [[f for w in sorted(words(t)) for f in features(w)] for t in batch["_text"].to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch["_id"].cast(pa.string()), *[batch[f"_y{k}"] for k in range(len(categories))], pa.array(found, pa.list_(pa.int32()))], names=["id", *[f"y{k}" for k in range(len(categories))], "f"])
+            found = [np.unique(np.array([f for w in words(t) for f in features(w)], np.int32), return_counts=True) for t in batch["_text"].to_pylist()]
+            columns = [pa.array([x[k].astype(np.int32) for x in found], pa.list_(pa.int32())) for k in (0, 1)]
+            yield pa.RecordBatch.from_arrays([batch["_id"].cast(pa.string()), *[batch[f"_y{k}"] for k in range(len(categories))], *columns], names=["id", *[f"y{k}" for k in range(len(categories))], "f", "n"])
 
-    schema = ", ".join(["id string", *[f"y{k} double" for k in range(len(categories))], "f array<int>"])
+    schema = ", ".join(["id string", *[f"y{k} double" for k in range(len(categories))], "f array<int>", "n array<int>"])
     got = picked.mapInArrow(run, schema).toArrow().combine_chunks()
     order = np.argsort(np.array(got["id"].to_pylist(), dtype=object), kind="stable") if got.num_rows else np.zeros(0, int)
     got = got.take(pa.array(order, pa.int64()))
-    lists = [np.asarray(x.values.to_numpy(zero_copy_only=False)) for x in got["f"]]
+    ids, counts = ([np.asarray(x.values.to_numpy(zero_copy_only=False)) for x in got[c]] for c in ("f", "n"))
     fold = np.array([zlib.crc32(x.encode()) % FOLDS for x in got["id"].to_pylist()], dtype=int)
     y = {c: got[f"y{k}"].to_numpy().astype(float) for k, c in enumerate(categories)}
-    return fit_chain(lists, y, fold)
+    return fit_chain(ids, counts, y, fold)
 
 
 def score(docs: DataFrame, chain: Chain, text_col: str = "text") -> DataFrame:
@@ -181,6 +181,9 @@ def score(docs: DataFrame, chain: Chain, text_col: str = "text") -> DataFrame:
     def run(batches):
         weights, earlier, intercept, cut = held.value
         table = np.stack(weights)
+        used = np.flatnonzero(np.abs(table).sum(axis=0))
+        some = dict(zip(used.tolist(), table[:, used].T.tolist()))
+        none = (0.0,) * n
         known: dict[str, tuple[float, ...]] = {}
         for batch in batches:
             if batch.num_rows == 0:
@@ -193,8 +196,10 @@ def score(docs: DataFrame, chain: Chain, text_col: str = "text") -> DataFrame:
                     if x is None:
                         if len(known) >= CACHE:
                             known.clear()
-                        x = known[w] = tuple(table[:, features(w)].sum(axis=1).tolist())
-                    found.append(x)
+                        own = [some[f] for f in features(w) if f in some]
+                        x = known[w] = tuple(map(sum, zip(*own))) if own else none
+                    if x is not none:
+                        found.append(x)
                 if found:
                     sums[r] = [sum(sorted(x)) for x in zip(*found)]
             p = np.zeros((batch.num_rows, n))
