@@ -12,7 +12,8 @@ only triggers with several different phrases matter; just these dictionary phras
 their suffixes are sorted, up to ``span`` bytes and by hash of those (equality is all that counts here,
 so no lexicographic order is needed), then by place: the first of equal suffixes stays, the others go.
 
-Trigger and phrase take 32 and 48 bits beside the bucket, suffixes 64. Texts are shuffled once.
+Trigger and phrase take 32 and 48 bits beside the bucket, suffixes 64. Repeated rows are parsed once and
+get their result by a join; texts are shuffled for this and for the result.
 
 Nulls and edges: null text is empty; texts shorter than ``span`` have no string; null ids come first;
 rows of one id should have one text: repeated rows get equal results, that of their first; an empty
@@ -269,13 +270,17 @@ def remove_repeats(docs: DataFrame, span: int = 100, id_col: str = "doc_id", tex
     rows = rows.withColumn("_i", F.coalesce(F.col("doc_id").cast("long"), F.lit(LOWEST)))
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(total * 4 // span) // BUCKET)
-    parsed = x.meet(rows.select("_i", "_h", "text").mapInArrow(_parse(span, buckets), x.SENT), buckets, _order)
     keys = ["_i", "_h"]
-    told = x.documents_of(parsed, _spread, PER_DOC).groupBy(*keys).agg(F.min_by(F.struct("at", "extra", "need"), F.octet_length("at")).alias("m"))
-    told = stage(told.select(*keys, "m.at", "m.extra", "m.need"), "parse-answers")
+
+    def once(found: DataFrame) -> DataFrame:
+        """One of each repeated row, or a row's copy would count as an earlier text; sorted, so a task that runs again cuts the same chunks."""
+        return found.dropDuplicates(keys).sortWithinPartitions(*keys)
+
+    parsed = x.meet(once(rows.select("_i", "_h", "text")).mapInArrow(_parse(span, buckets), x.SENT), buckets, _order)
+    told = stage(x.documents_of(parsed, _spread, PER_DOC), "parse-answers")
     placed = rows.select("doc_id", "_i", "_h", "text").join(told, keys, "left")
-    asked = placed.filter("need is not null").select("_i", "_h", "text", "need").mapInArrow(_dictionary(span, buckets), x.SENT)
-    wins = x.documents_of(x.meet(asked, buckets, _suffixes(span)), _spread, PER_DOC).groupBy(*keys).agg(F.min_by("at", F.octet_length("at")).alias("wins"))
+    asked = once(placed.filter("need is not null").select("_i", "_h", "text", "need")).mapInArrow(_dictionary(span, buckets), x.SENT)
+    wins = x.documents_of(x.meet(asked, buckets, _suffixes(span)), _spread, PER_DOC).select(*keys, F.col("at").alias("wins"))
     done = placed.join(wins, keys, "left").select("doc_id", "text", "at", "extra", "wins")
     kind = rows.schema["doc_id"].dataType.simpleString()
     return done.mapInArrow(_kept(span), f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept binary")

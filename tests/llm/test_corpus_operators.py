@@ -89,6 +89,24 @@ def test_parse_repeats(spark, docs, corpus):
     assert found == [(0, 149), (1, 150), (1, 150)]
 
 
+@pytest.mark.parametrize("parts", [1, 4])
+def test_parse_repeats_of_repeated_rows(spark, parts):
+    """A row's copy is no earlier text: whole rows that repeat keep what a single one would keep."""
+    from quernstone.llm.prefix_parse import remove_repeats
+
+    rng = np.random.default_rng(11)
+    a, b, c, d = (" ".join(words(rng, 60, 10**6)) for _ in range(4))
+    single = [(1, a), (2, b + a + c), (3, d[:150] + b), (None, d), (None, "short")]
+
+    def result(rows):
+        df = spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)
+        return Counter((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"])) for r in remove_repeats(df).collect())
+
+    want = result(single)
+    assert {k[0]: k[2] for k in want}[1] == 0 and sum(k[2] for k in want) > 300
+    assert result(single * 3) == Counter({k: 3 * n for k, n in want.items()})
+
+
 def brute_components(rows, size, percent):
     sets = {}
     for i, t, *_ in rows:
