@@ -303,8 +303,8 @@ def _described(words: int):
     return run
 
 
-def jaccard_components(docs: DataFrame, words: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, _h, n_shingles, component_id) for each row of ``docs``."""
+def _linked(docs: DataFrame, words: int, percent: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, _h, n, ka, kb) for each row of ``docs``, and (ka, kb, n, rep_id, rep, component) for each set with shingles."""
     spark = docs.sparkSession
     rows = with_row_key(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), "doc_id", "text")
     id_type = rows.schema["doc_id"].dataType.simpleString()
@@ -347,7 +347,12 @@ def jaccard_components(docs: DataFrame, words: int = 4, percent: int = 85, id_co
         right = right.join(needed, ["cluster", "b0"], "left_semi")
         more = left.unionByName(right).groupBy("cluster", "b0", "b1").applyInArrow(_verify_pairs(words, percent), "left long, right long")
         joined = components(verified.unionByName(stage(more, "jaccard-cross")))
-    best = nodes.join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    return known, nodes.join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
+
+
+def jaccard_components(docs: DataFrame, words: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, _h, n_shingles, component_id) for each row of ``docs``."""
+    known, best = _linked(docs, words, percent, id_col, text_col)
     smallest = best.groupBy("component").agg(F.min("rep_id").alias("component_id"))
     named = best.join(smallest, "component").select("ka", "kb", "n", "component_id")
     linked = known.filter("n > 0").join(named, ["ka", "kb", "n"]).select("doc_id", "_h", F.col("n").alias("n_shingles"), "component_id")
@@ -355,10 +360,13 @@ def jaccard_components(docs: DataFrame, words: int = 4, percent: int = 85, id_co
 
 
 def deduplicate(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of each group of linked documents: that with the smallest id (of repeated rows, one)."""
-    found = jaccard_components(docs, words, percent, id_col, text_col)
-    keep = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.min("_h").alias("_h"))
-    keep = keep.select(F.col("doc_id").alias("_id"), F.col("_h").alias("_k"))
+    """One row of each group of linked documents: that with the smallest id (of repeated rows, one).
+
+    Ids needn't be unique: of unlinked documents that share an id, or have none, each keeps its row.
+    """
+    known, best = _linked(docs, words, percent, id_col, text_col)
+    keep = best.groupBy("component").agg(F.min("rep").alias("rep")).select(F.col("rep.i").alias("_id"), F.col("rep.h").alias("_k"))
+    keep = keep.unionByName(known.filter("n = 0").select(F.col("doc_id").alias("_id"), F.col("_h").alias("_k")).distinct())
     keyed = with_row_key(docs, id_col, text_col)
     kept = keyed.join(keep, keyed[id_col].eqNullSafe(keep["_id"]) & (keyed["_h"] == keep["_k"]))
     one = kept.withColumn("_n", F.row_number().over(Window.partitionBy("_id", "_k").orderBy(F.lit(1)))).filter("_n = 1")

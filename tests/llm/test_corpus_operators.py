@@ -183,6 +183,19 @@ def test_deduplicate_keeps_one_of_each(spark, docs, corpus):
     assert sorted(r["doc_id"] for r in twice.select("doc_id").collect()) == sorted(want)
 
 
+def test_deduplicate_keeps_unlinked_rows_of_one_id(spark):
+    """Null ids and ids given twice: only linked or repeated rows go."""
+    from quernstone.llm.jaccard import deduplicate
+
+    rng = np.random.default_rng(12)
+    a, b, c, d, e = (" ".join(words(rng, 80, 10**6)) for _ in range(5))
+    near = a.split(" ")[:-1] + ["changed"]
+    data = [(None, a), (None, " ".join(near)), (None, b), (None, b), (None, c), (None, None), (None, ""), (None, ""), (7, d), (7, e), (8, d), (9, c), (10, None), (10, "")]
+    got = Counter((r["doc_id"], r["text"]) for r in deduplicate(spark.createDataFrame(data, "doc_id long, text string").repartition(3)).collect())
+    first = (None, a) if (None, a) in got else (None, " ".join(near))
+    assert got == Counter([first, (None, b), (9, c), (None, None), (None, ""), (7, d), (7, e), (10, None), (10, "")])
+
+
 def test_warc_round_trip(spark, tmp_path):
     from quernstone.llm.warc import read_warc, write_warc
 
