@@ -40,10 +40,16 @@ from quernstone.session import stage
 CHUNK, BUCKET, BLOCK, BLOCK_SHINGLES = 1 << 20, 4_000_000, 512, 1_000_000
 #: Shingles that a signature of a band's smallest set should hold on average.
 LEAST_CONTENT = 7
+#: Rows whose number fits beside 48 bits of hash.
+ROWS = 1 << 16
 
 
 def shingle_sets(column: pa.Array, words: int) -> tuple[np.ndarray, np.ndarray]:
     """Distinct 48-bit shingle hashes of all rows, ascending by row, and their rows."""
+    if len(column) > ROWS:
+        firsts = range(0, len(column), ROWS)
+        h, row = zip(*[shingle_sets(column.slice(k, ROWS), words) for k in firsts])
+        return np.concatenate(h), np.concatenate([r + k for r, k in zip(row, firsts)])
     data, offsets = strings(column)
     data = lower_ascii(data)
     starts, ends, first = word_bounds(data, offsets)

@@ -161,6 +161,20 @@ def test_jaccard_chains_across_blocks(spark, monkeypatch):
     assert {c for _, c in got.values()} == {0}
 
 
+def test_shingle_sets_of_more_rows_than_16_bits():
+    """A long run of null and empty texts is one chunk, however many rows it has."""
+    import pyarrow as pa
+
+    from quernstone.llm.jaccard import shingle_sets
+
+    texts = ["a b c d e", *[None, ""] * 70_000, "f g h i j k"]
+    texts[65_536], texts[131_072] = "one two", "f g h i"
+    for column in (pa.array(texts), pa.chunked_array([texts[:100_000], texts[100_000:]])):
+        h, row = shingle_sets(column, 4)
+        assert row.tolist() == [0, 0, 65_536, 131_072, *[len(texts) - 1] * 3]
+        assert len(set(h.tolist())) == 6 and h[3] in h[4:]
+
+
 def test_bands_cover_all_linked_sizes():
     from quernstone.llm.jaccard import Bands
 
