@@ -430,9 +430,9 @@ def suppressed_strata(spark, sf_dir):
 METRICS = ("accuracy", "balanced_accuracy", "macro_f1")
 
 
-def _replicates(spark, sf_dir, keys: list[str], domain: str, iterations: int = 200) -> DataFrame:
+def _replicates(spark, sf_dir, keys: list[str], domain: str) -> DataFrame:
     rows = long_star(spark, sf_dir)
-    draws = bootstrap.draw_table(rows, keys, "component", domain, iterations)
+    draws = bootstrap.draw_table(rows, keys, "component", domain)
     return bootstrap.replicates(rows, draws, keys, "component", SEGMENTS, [c for c in CELL if c not in keys])
 
 
@@ -458,7 +458,7 @@ def split_gap(spark, sf_dir):
 @query()
 def performance_summary(spark, sf_dir):
     """Gated metrics of each split and method with intervals."""
-    return reports.summary(long_star(spark, sf_dir), CELL, "component", SEGMENTS, "summary:{split}:{method}", 200)
+    return reports.summary(long_star(spark, sf_dir), CELL, "component", SEGMENTS, "summary:{split}:{method}")
 
 
 BINS = [str(k) for k in range(14)]
@@ -482,7 +482,7 @@ def class_errors(spark, sf_dir):
 
 @query()
 def model_comparisons(spark, sf_dir):
-    return reports.comparisons(long_star(spark, sf_dir), ["split"], [("a", "b")], "component", SEGMENTS, "compare:{split}", 200)
+    return reports.comparisons(long_star(spark, sf_dir), ["split"], [("a", "b")], "component", SEGMENTS, "compare:{split}")
 
 
 @query()
@@ -490,7 +490,7 @@ def seed_diagnostics(spark, sf_dir):
     """How far interval bounds move between three seeds."""
     rows, out = long_star(spark, sf_dir), None
     for seed in (2026, 3407, 42):
-        one = reports.summary(rows, CELL, "component", SEGMENTS, "seeds:{split}:{method}", 100, seed).withColumn("seed", F.lit(seed))
+        one = reports.summary(rows, CELL, "component", SEGMENTS, "seeds:{split}:{method}", seed=seed).withColumn("seed", F.lit(seed))
         out = one if out is None else out.unionByName(one)
     return reports.seed_shifts(out, [*CELL, "metric"], 2026)
 

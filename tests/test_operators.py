@@ -124,6 +124,25 @@ def test_bootstrap_repeats_whole_groups(spark):
     assert [v["rows"] for v in values.orderBy("iteration").collect()] == [6, 5, 4]
 
 
+@pytest.mark.parametrize("name", ["bootstrap_ci", "paired_diff", "split_gap", "performance_summary", "model_comparisons", "seed_diagnostics"])
+def test_bootstrap_queries_draw_2000_times(spark, monkeypatch, name):
+    from quernstone.plans import queries
+
+    cells = [(s, k, f"g{k % 9}", "BUILDING", m, "BUILDING" if k % (2 + len(m)) else "MACHINERY") for s in "OF" for k in range(30) for m in "ab"]
+    rows_ = spark.createDataFrame(cells, "split string, id long, component string, truth string, method string, predicted string")
+    monkeypatch.setattr(queries, "long_star", lambda spark, sf_dir: rows_)
+    drawn, draw = [], bootstrap.draw_table
+
+    def noted(*args, **kwargs):
+        drawn.append(draw(*args, **kwargs))
+        return drawn[-1]
+
+    monkeypatch.setattr(bootstrap, "draw_table", noted)
+    queries.QUERIES[name](spark, "")
+    assert len(drawn) == (3 if name == "seed_diagnostics" else 1)
+    assert all(d.agg(F.count_distinct("iteration")).first()[0] == 2000 for d in drawn)
+
+
 def test_features(spark):
     df = spark.createDataFrame([(1, "AACD"), (2, "AC"), (3, "")], "id long, s string")
     got = [x[0] for x in df.select(features.composition(F.col("s"), "ACD")).collect()]
