@@ -279,6 +279,18 @@ def test_neighbours_recall(spark):
     assert nearest(df.limit(0), F.col("vec_id") % 50 == 0).count() == 0
 
 
+def test_search_leaves_a_bad_neighbourhood(spark):
+    """Nodes on an arc, each listing only those beside it: the way to the query's like leads over nodes farther than all it lists."""
+    from quernstone.llm.ann import ROW, _block, search
+
+    degrees = [0, 10, 20, 30, 180, 5, 4]
+    links = {0: [1, 2], 1: [0, 2], 2: [1, 3], 3: [2, 4], 4: [3, 5], 5: [4, 6], 6: [5]}
+    x = np.array([[np.cos(np.radians(d)), np.sin(np.radians(d))] for d in degrees], np.float32)
+    graph = [(int(_block(np.array([n]), 4)[0]), 0, n, np.array(to, np.int64).tobytes(), (x[to] @ x[n]).astype(np.float32).tobytes(), x[n].tobytes()) for n, to in links.items()]
+    found = search(spark.createDataFrame(graph, ROW), 4, spark.createDataFrame([(0,)], "node long")).first()
+    assert list(found["near"]) == [0, 6, 5, 1, 2, 3, 4]
+
+
 def test_pipeline_stage_by_stage(spark):
     import os
     import re
