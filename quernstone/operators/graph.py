@@ -14,14 +14,14 @@ def _stars(edges: DataFrame) -> tuple[DataFrame, tuple]:
     return edges, tuple(mark)
 
 
-def components(edges: DataFrame, left: str = "left", right: str = "right") -> DataFrame:
+def components(edges: DataFrame, left: str = "left", right: str = "right", nodes: DataFrame | None = None) -> DataFrame:
     """(node, component) for every node of ``edges`` with an end other than itself; component is the smallest node.
 
     Alternating large-star and small-star steps: every node's neighbours are hung on the smallest one,
     which keeps the components and ends in one star each, in a number of rounds that grows with the
     logarithm of the longest path. Each step is an aggregation with map-side minimum and a join that
     adaptive execution can split; each round is written to the shared folder, which cuts the lineage.
-    Rows with a null end and loops are ignored.
+    Rows with a null end and loops are ignored. With ``nodes`` (node), those without an edge are components of their own.
     """
     start = edges.select(F.col(left).alias("u"), F.col(right).alias("v")).filter("u is not null and v is not null and u <> v")
     current, mark = _stars(start.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")))
@@ -38,4 +38,8 @@ def components(edges: DataFrame, left: str = "left", right: str = "right") -> Da
             break
         mark = now
     roots = current.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
-    return current.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
+    found = current.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
+    if nodes is None:
+        return found
+    alone = nodes.select("node").filter("node is not null").distinct().join(found, "node", "left_anti")
+    return found.unionByName(alone.select("node", F.col("node").alias("component")))

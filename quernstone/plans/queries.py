@@ -271,6 +271,56 @@ def nested_check(spark, sf_dir):
     return per.agg(F.count("*").alias("fine_components"), F.count_if(F.col("k") > 1).alias("torn"))
 
 
+#: Identities whose components are asked for; a line's identity is twice its quantity in hundredths.
+IDENTITIES = (70, 50, 30)
+
+
+def whole_components(spark, sf_dir, percent: int) -> DataFrame:
+    """Components of all orders and parts by every line at or over the identity; those without such a line are single."""
+    lines = table(spark, sf_dir, "lineitem").filter(F.col("l_quantity") * 2 >= percent)
+    orders = table(spark, sf_dir, "orders").select((F.col("o_orderkey") * 2 + 1).alias("node"))
+    nodes = orders.unionByName(table(spark, sf_dir, "part").select((F.col("p_partkey") * 2).alias("node")))
+    edges = lines.select((F.col("l_orderkey") * 2 + 1).alias("left"), (F.col("l_partkey") * 2).alias("right"))
+    return graph.components(edges, nodes=nodes).select(F.lit(percent).alias("percent"), "node", "component")
+
+
+def all_components(spark, sf_dir) -> DataFrame:
+    out = None
+    for percent in IDENTITIES:
+        one = whole_components(spark, sf_dir, percent)
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query()
+def components_whole(spark, sf_dir):
+    """Every node's component at each identity; recursive SQL is too slow here, tests hold it against union-find."""
+    return all_components(spark, sf_dir)
+
+
+@query()
+def component_sizes_whole(spark, sf_dir):
+    sizes = all_components(spark, sf_dir).groupBy("percent", "component").agg(F.count("*").alias("n"))
+    return sizes.groupBy("percent", r.size_bin(F.col("n")).alias("bin")).agg(F.count("*").alias("components"), F.sum("n").alias("nodes"))
+
+
+@query()
+def component_id_whole(spark, sf_dir):
+    nodes = all_components(spark, sf_dir).withColumn("h", F.sha2(F.col("node").cast("string").cast("binary"), 256))
+    return nodes.groupBy("percent", "component").agg(r.group_digest("component-", F.collect_list("h")).alias("name"), F.count("*").alias("n"))
+
+
+@query()
+def nested_check_whole(spark, sf_dir):
+    """How many components of each identity are torn apart at the next lower one."""
+    found, out = {p: whole_components(spark, sf_dir, p) for p in IDENTITIES}, None
+    for fine, coarse in zip(IDENTITIES, IDENTITIES[1:]):
+        per = found[fine].join(found[coarse].select("node", F.col("component").alias("coarse")), "node").groupBy("percent", "component").agg(F.count_distinct("coarse").alias("k"))
+        one = per.groupBy("percent").agg(F.count("*").alias("fine_components"), F.count_if(F.col("k") > 1).alias("torn"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 # ---- splits ----
 
 SPLIT = """WITH m AS (SELECT doc_id, lang, source, sha256(coalesce(text, '')) AS h FROM documents),

@@ -75,6 +75,47 @@ def test_components_of_a_path_a_cycle_and_nothing(spark):
     assert graph.components(edges.limit(0)).count() == 0
 
 
+def test_whole_components_against_union_find(spark, tmp_path):
+    import hashlib
+    import random
+    from collections import Counter
+
+    from quernstone.plans.queries import QUERIES
+
+    rng = random.Random(3)
+    lines = [(rng.randrange(60), rng.randrange(40), float(rng.randrange(1, 51)), rng.randrange(1, 8)) for _ in range(110)]
+    lines += [(70, 50, 35.0, 7), (71, 50, 25.0, 6), (72, 50, 15.0, 5), (73, 51, 14.0, 1)]
+    spark.createDataFrame(lines, "l_orderkey long, l_partkey long, l_quantity double, l_linenumber int").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.range(80).select(F.col("id").alias("o_orderkey")).write.parquet(f"{tmp_path}/orders.parquet")
+    spark.range(60).select(F.col("id").alias("p_partkey")).write.parquet(f"{tmp_path}/part.parquet")
+    want, sizes, names, label = [], [], [], lambda n: "1" if n == 1 else "2-4" if n <= 4 else "5-9" if n <= 9 else "10-19" if n <= 19 else "20+"
+    for percent in (70, 50, 30):
+        parent = {n: n for n in [*range(1, 160, 2), *range(0, 120, 2)]}
+
+        def find(n):
+            return n if parent[n] == n else find(parent[n])
+
+        for o, part, quantity, _ in lines:
+            if quantity * 2 >= percent:
+                a, b = find(o * 2 + 1), find(part * 2)
+                parent[max(a, b)] = min(a, b)
+        of = {n: find(n) for n in parent}
+        want += [(percent, n, c) for n, c in of.items()]
+        n_of = Counter(of.values())
+        bins = Counter(label(n) for n in n_of.values())
+        sizes += [(percent, k, v, sum(n for n in n_of.values() if label(n) == k)) for k, v in bins.items()]
+        for c, n in n_of.items():
+            own = sorted(hashlib.sha256(str(m).encode()).hexdigest() for m in of if of[m] == c)
+            names.append((percent, c, "component-" + hashlib.sha256("".join(h + "\n" for h in own).encode()).hexdigest(), n))
+    at = str(tmp_path)
+    assert rows(QUERIES["components_whole"](spark, at), "percent", "node", "component") == sorted(want)
+    assert {k for _, k, *_ in sizes} >= {"1", "20+"}
+    assert rows(QUERIES["component_sizes_whole"](spark, at), "percent", "bin", "components", "nodes") == sorted(sizes)
+    assert rows(QUERIES["component_id_whole"](spark, at), "percent", "component", "name", "n") == sorted(names)
+    fine = {p: len({c for q, _, c in want if q == p}) for p in (70, 50)}
+    assert rows(QUERIES["nested_check_whole"](spark, at), "percent", "fine_components", "torn") == [(50, fine[50], 0), (70, fine[70], 0)]
+
+
 def test_apportionment(spark):
     totals = [0, 1, 2, 3, 4, 5, 6, 9, 10, 12]
     want = [(0, 0, 0), (1, 0, 0), (2, 0, 0), (2, 1, 0), (3, 1, 0), (3, 1, 1), (4, 1, 1), (6, 2, 1), (7, 2, 1), (8, 2, 2)]
