@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quernstone.session import stage
+from quernstone.session import stage, unstage
 
 
-def _stars(edges: DataFrame) -> tuple[DataFrame, tuple]:
-    edges = stage(edges.distinct(), "edges")
+def _stars(edges: DataFrame, held: list[str]) -> tuple[DataFrame, tuple]:
+    edges = stage(edges.distinct(), "edges", held)
     mark = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
     return edges, tuple(mark)
 
@@ -20,20 +20,24 @@ def components(edges: DataFrame, left: str = "left", right: str = "right", nodes
     Alternating large-star and small-star steps: every node's neighbours are hung on the smallest one,
     which keeps the components and ends in one star each, in a number of rounds that grows with the
     logarithm of the longest path. Each step is an aggregation with map-side minimum and a join that
-    adaptive execution can split; each round is written to the shared folder, which cuts the lineage.
-    Rows with a null end and loops are ignored. With ``nodes`` (node), those without an edge are components of their own.
+    adaptive execution can split; each round is written to the shared folder, which cuts the lineage, and
+    the round before it is deleted. Rows with a null end and loops are ignored. With ``nodes`` (node),
+    those without an edge are components of their own.
     """
+    spark, held = edges.sparkSession, []
     start = edges.select(F.col(left).alias("u"), F.col(right).alias("v")).filter("u is not null and v is not null and u <> v")
-    current, mark = _stars(start.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")))
-    while True:
+    current, mark = _stars(start.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")), held)
+    while mark[0]:
+        before, held = held, []
         both = current.unionByName(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
         large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
-        large = stage(large.distinct(), "large-star")
+        large = stage(large.distinct(), "large-star", before)
         down = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(down, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
         own = down.select("u", F.col("m").alias("v"))
-        current, now = _stars(small.unionByName(own).filter("u <> v"))
+        current, now = _stars(small.unionByName(own).filter("u <> v"), held)
+        unstage(spark, before)
         if now == mark:
             break
         mark = now
