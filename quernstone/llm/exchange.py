@@ -18,8 +18,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quernstone.llm.common import trimmed
+
 #: Kinds of rows: entries first, then those that need them; directories and settled positions pass through.
-INDEX, PROBE, SETTLED, DIRECTORY = 0, 1, 8, 9
+INDEX, PROBE, WINDOWS, SETTLED, DIRECTORY = 0, 1, 2, 8, 9
 SENT = "bucket int, kind int, chunk long, a binary, b binary, c binary, d binary"
 SENT_ARROW = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("chunk", pa.int64()), *[(c, pa.binary()) for c in "abcd"]])
 BACK = "chunk long, kind int, a binary, b binary, c binary"
@@ -74,9 +76,9 @@ def by_bucket(bucket: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
 
 
 def meet(rows: DataFrame, buckets: int, work: Callable) -> DataFrame:
-    """Deals sent rows to their buckets and runs ``work`` over each task's rows, sorted by bucket and kind."""
-    dealt = rows.repartitionById(buckets, F.col("bucket")).sortWithinPartitions("bucket", "kind")
-    return dealt.mapInArrow(work, BACK)
+    """Deals sent rows to their buckets and runs ``work`` over each task's rows, sorted by bucket, kind and chunk."""
+    dealt = rows.repartitionById(buckets, F.col("bucket")).sortWithinPartitions("bucket", "kind", "chunk")
+    return dealt.mapInArrow(trimmed(work), BACK)
 
 
 def passed_on(row: dict) -> tuple:

@@ -9,15 +9,20 @@ of a part is a signature: linked sets agree on some choice in at least e + 1 par
 signature without shingles says little; it is given only by sets that have such in more than e parts,
 since with at most e of them some agreed signature has content. e is set by the band, not by the data.
 
-Sets that share a signature are candidates. They are joined to the first set of each signature, never
-to each other in pairs; components of those stars are groups that no link leaves. Each group is then
-verified exactly, in blocks of bounded size by matrix products of incidence columns; in groups of
-several blocks a pivot set is in all of them, and pairs of blocks are compared where components remain
-apart. So no link is lost and no group has to fit one task.
+Sets that share a signature are candidates. Each signature has one pivot; a pivot's star is all sets that
+share a signature with it there, so every linked pair lies in some star, and stars of different pivots
+stay apart: nothing is merged before it is verified. A star is cut into blocks of bounded size, each with
+the star's centre (its largest set). Inside a block all pairs are compared exactly, by matrix products of
+incidence columns. Across blocks, sets that the links so far leave in different components are compared
+by their differences from the centre: linked sets must share some of these, so each set gives the rarest
+few of its differences (``_prefixes``), sets with one in common meet in a join, and the size of the
+common difference settles the pair. Components are taken of verified links only. No link is lost, no star
+has to fit one task, and no text is sent for pairs of blocks.
 
 Nulls and edges: null text, or text without words, is an empty set, linked with nothing: its component
 is its own id; fewer words than a shingle count as one; repeated rows are copies; a null id never is a
-component's smallest id unless all are null; only the id and the text are read.
+component's smallest id unless all are null; only the id and the text are read. Texts of any length are
+hashed slice by slice.
 """
 
 from __future__ import annotations
@@ -32,16 +37,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quernstone.llm.common import chunked, lower_ascii, mix64, prefix_sums, spans_hash, strings, with_row_key, word_bounds, word_hashes
+from quernstone.llm.common import chunked, hashed_words, lower_ascii, mix64, spans_hash, strings, trimmed, with_row_key
+from quernstone.llm.exchange import chunk_numbers
 from quernstone.operators.graph import components
 from quernstone.session import stage
 
-#: Bytes of text worked on at once, signatures in a bucket, sets and shingles in a block of a group.
+#: Bytes of text worked on at once, signatures in a bucket, sets and shingles in a block of a star.
 CHUNK, BUCKET, BLOCK, BLOCK_SHINGLES = 1 << 20, 4_000_000, 512, 1_000_000
 #: Shingles that a signature of a band's smallest set should hold on average.
 LEAST_CONTENT = 7
-#: Rows whose number fits beside 48 bits of hash.
-ROWS = 1 << 16
+#: Rows whose number fits beside 48 bits of hash; entries worked on at once.
+ROWS, STEP = 1 << 16, 1 << 20
+#: Sets (about) of a star that tell which differences from its centre are common.
+WITNESSES = 32
 
 
 def shingle_sets(column: pa.Array, words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -51,20 +59,23 @@ def shingle_sets(column: pa.Array, words: int) -> tuple[np.ndarray, np.ndarray]:
         h, row = zip(*[shingle_sets(column.slice(k, ROWS), words) for k in firsts])
         return np.concatenate(h), np.concatenate([r + k for r, k in zip(row, firsts)])
     data, offsets = strings(column)
-    data = lower_ascii(data)
-    starts, ends, first = word_bounds(data, offsets)
-    sums = prefix_sums(word_hashes(data, starts, ends))
+    hashes, first = hashed_words(lower_ascii(data), offsets)
     counts = np.diff(first)
-    row = np.repeat(np.arange(len(counts)), counts)
-    at = np.arange(len(starts))
-    full = at + words <= first[1:][row]
-    begin, row_of = at[full], row[full]
     few = np.flatnonzero((counts > 0) & (counts < words))
-    h = np.concatenate([spans_hash(sums, begin, begin + words), spans_hash(sums, first[few], first[few + 1])])
-    row_of = np.concatenate([row_of, few])
-    keyed = np.sort((row_of.astype(np.uint64) << np.uint64(48)) | (h >> np.uint64(16)))
-    if len(keyed):
-        keyed = keyed[np.concatenate([[True], keyed[1:] != keyed[:-1]])]
+    # a row's shingles start at each of its words but the last few
+    keys = [(few.astype(np.uint64) << np.uint64(48)) | (spans_hash(hashes, first[few], first[few + 1]) >> np.uint64(16))]
+    for low in range(0, len(hashes), STEP):
+        part = hashes[low : low + STEP + words - 1]
+        at = np.arange(min(STEP, len(hashes) - low))
+        row = np.searchsorted(first, at + low, side="right") - 1
+        full = at + low + words <= first[row + 1]
+        at, row = at[full], row[full]
+        found = (row.astype(np.uint64) << np.uint64(48)) | (spans_hash(part, at, at + words) >> np.uint64(16))
+        found.sort()
+        keys.append(found[np.diff(found, prepend=~found[:1]) != 0])
+    keyed = np.concatenate(keys)
+    keyed.sort()
+    keyed = keyed[np.diff(keyed, prepend=~keyed[:1]) != 0]
     return keyed & np.uint64((1 << 48) - 1), (keyed >> np.uint64(48)).astype(np.int64)
 
 
@@ -72,8 +83,10 @@ def set_keys(h: np.ndarray, row: np.ndarray, n: int) -> tuple[np.ndarray, np.nda
     """Sizes and two 64-bit keys of each row's set."""
     size = np.bincount(row, minlength=n)
     a, b = np.zeros(n, np.uint64), np.zeros(n, np.uint64)
-    np.add.at(a, row, mix64(h))
-    np.add.at(b, row, mix64(h ^ np.uint64(0xA5A5A5A5A5A5)))
+    for low in range(0, len(h), STEP):
+        part, of = h[low : low + STEP], row[low : low + STEP]
+        np.add.at(a, of, mix64(part))
+        np.add.at(b, of, mix64(part ^ np.uint64(0xA5A5A5A5A5A5)))
     return size, a, b
 
 
@@ -129,39 +142,46 @@ def signatures(h: np.ndarray, row: np.ndarray, size: np.ndarray, bands: Bands) -
     """64-bit signatures and their rows; rows of size 0 have none."""
     out, rows = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
     own = bands.of(size)
-    place, content = mix64(h ^ np.uint64(0x5851F42D4C95)), mix64(h)
-    first = np.searchsorted(row, np.arange(len(size) + 1))
-    for number in np.unique(own[size > 0]):
+    numbers = np.unique(own[size > 0])
+    if len(numbers) > 1:
+        order = np.argsort(own[row], kind="stable")
+        h, row = h[order], row[order]
+    cuts = np.searchsorted(own[row], [*numbers, len(bands.ends) + 1])
+    place = np.zeros(len(size), np.uint64)
+    for number, first, last in zip(numbers, cuts, cuts[1:]):
         doc = np.flatnonzero((own == number) & (size > 0))
-        at = np.concatenate([np.arange(first[d], first[d + 1]) for d in doc])
-        of = np.repeat(np.arange(len(doc)), size[doc])
-        for step in (0, 1):
-            band = bands.bands[number + step]
-            part = (place[at] % np.uint64(band.parts)).astype(np.int64)
-            cell = ((place[at] // np.uint64(band.parts)) % np.uint64(band.cells)).astype(np.int64)
-            slot = (of * band.parts + part) * band.cells + cell
-            slots = len(doc) * band.parts * band.cells
-            total = np.zeros(slots, np.uint64)
-            np.add.at(total, slot, content[at])
-            total, filled = total.reshape(-1, band.cells), (np.bincount(slot, minlength=slots) > 0).reshape(-1, band.cells)
+        place[doc] = np.arange(len(doc))
+        pair = bands.bands[number : number + 2]
+        sums = [np.zeros(len(doc) * band.parts * band.cells, np.uint64) for band in pair]
+        some = [np.zeros(len(x), bool) for x in sums]
+        for low in range(first, last, STEP):
+            part, of = h[low : min(last, low + STEP)], place[row[low : min(last, low + STEP)]]
+            where, content = mix64(part ^ np.uint64(0x5851F42D4C95)), mix64(part)
+            for k, band in enumerate(pair):
+                parts, cells = np.uint64(band.parts), np.uint64(band.cells)
+                slot = ((of * parts + where % parts) * cells + where // parts % cells).astype(np.int64)
+                np.add.at(sums[k], slot, content)
+                some[k][slot] = True
+        for step, (band, total, filled) in enumerate(zip(pair, sums, some)):
+            total, filled = total.reshape(-1, band.cells), filled.reshape(-1, band.cells)
             tag = np.tile(np.arange(band.parts, dtype=np.uint64), len(doc)) + np.uint64((int(number) + step) << 32)
-            sums = np.stack([total[:, c].sum(axis=1, dtype=np.uint64) for c in band.choices], axis=1)
-            some = np.stack([filled[:, c].any(axis=1) for c in band.choices], axis=1)
-            weak = (~some.all(axis=1)).reshape(len(doc), band.parts).sum(axis=1) > band.spare
-            keep = some | np.repeat(weak, band.parts)[:, None]
-            tag = mix64(mix64(tag)[:, None] + np.arange(len(band.choices), dtype=np.uint64)[None, :])
-            out.append(mix64(tag + sums)[keep])
-            rows.append(np.repeat(np.repeat(doc, band.parts), len(band.choices)).reshape(keep.shape)[keep])
+            chosen = np.stack([total[:, c].sum(axis=1, dtype=np.uint64) for c in band.choices], axis=1)
+            solid = np.stack([filled[:, c].any(axis=1) for c in band.choices], axis=1)
+            weak = (~solid.all(axis=1)).reshape(len(doc), band.parts).sum(axis=1) > band.spare
+            keep = solid | np.repeat(weak, band.parts)[:, None]
+            chosen += mix64(mix64(tag)[:, None] + np.arange(len(band.choices), dtype=np.uint64)[None, :])
+            out.append(mix64(chosen[keep]))
+            rows.append(np.repeat(doc, keep.reshape(len(doc), -1).sum(axis=1)))
     return np.concatenate(out), np.concatenate(rows)
 
 
-SIGNED = pa.schema([("bucket", pa.int32()), ("keys", pa.binary()), ("sets", pa.binary()), ("counts", pa.binary())])
+SIGNED = pa.schema([("bucket", pa.int32()), ("chunk", pa.int64()), *[(c, pa.binary()) for c in ("keys", "sets", "sizes", "counts")]])
 
 
 def _sign(words: int, percent: int, largest: int, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands = Bands(percent, largest)
-        for rows in chunked(batches, CHUNK):
+        for chunk, rows in zip(chunk_numbers(), chunked(batches, CHUNK)):
             h, row = shingle_sets(rows["text"], words)
             size, a, _ = set_keys(h, row, rows.num_rows)
             once = np.zeros(rows.num_rows, bool)
@@ -176,74 +196,70 @@ def _sign(words: int, percent: int, largest: int, buckets: int):
             for begin, end in zip(cuts, np.append(cuts[1:], len(bucket))):
                 own, counts = np.unique(of[begin:end], return_counts=True)
                 keys = np.ascontiguousarray(sig[begin:end]).view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
-                yield pa.RecordBatch.from_arrays([pa.array([bucket[begin]], pa.int32()), pa.array([keys]), pa.array([a[own].tobytes()]), pa.array([counts.astype(np.uint32).tobytes()])], schema=SIGNED)
+                packed = [keys, a[own].tobytes(), size[own].astype(np.uint32).tobytes(), counts.astype(np.uint32).tobytes()]
+                yield pa.RecordBatch.from_arrays([pa.array([bucket[begin]], pa.int32()), pa.array([chunk], pa.int64()), *[pa.array([x]) for x in packed]], schema=SIGNED)
 
-    return run
+    return trimmed(run)
 
 
 def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links each set to the first one with the same signature; rows come sorted by bucket."""
-    bucket, known, firsts = None, np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+    """Pairs a signature's pivot with every other set that has it; rows come sorted by bucket and chunk.
+
+    The pivot is the first set seen, of those seen at once the largest: chunks come in one order to all
+    buckets, so the signatures of a group of like sets mostly have one pivot.
+    """
+    bucket, known, pivots = None, np.zeros(0, np.uint64), np.zeros(0, np.uint64)
     held, size = [], 0
 
     def flush():
-        nonlocal known, firsts, held, size
-        keys = np.concatenate([known, *[x[0] for x in held]])
-        sets = np.concatenate([firsts, *[x[1] for x in held]])
+        nonlocal known, pivots, held, size
+        keys, sets, sizes = (np.concatenate([first, *[x[k] for x in held]]) for k, first in enumerate((known, pivots, np.zeros(len(known), np.int64))))
+        new = np.arange(len(keys)) >= len(known)
         held, size = [], 0
-        order = np.argsort(keys, kind="stable")
+        order = np.lexsort((sets, -sizes, new, keys))
         keys, sets = keys[order], sets[order]
-        new = np.concatenate([[True], keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, bool)
-        group = np.cumsum(new) - 1
-        known, firsts = keys[new], sets[new]
-        first = firsts[group] if len(keys) else sets
-        differ = first != sets
-        pairs = np.unique(np.stack([first[differ], sets[differ]], axis=1), axis=0)
-        return pairs.view(np.int64)
-
-    def table(pairs):
+        start = np.concatenate([[True], keys[1:] != keys[:-1]])
+        known, pivots = keys[start], sets[start]
+        pivot = pivots[np.cumsum(start) - 1]
+        differ = pivot != sets
+        pairs = np.unique(np.stack([pivot[differ], sets[differ]], axis=1), axis=0).view(np.int64)
         return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["left", "right"])
 
     for batch in batches:
-        for b, keys, sets, counts in zip(batch["bucket"].to_pylist(), batch["keys"], batch["sets"], batch["counts"]):
-            if b != bucket or size > 1_000_000:
-                if held and len(pairs := flush()):
-                    yield table(pairs)
-                if b != bucket:
-                    bucket, known, firsts = b, np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+        for b, keys, sets, sizes, counts in zip(batch["bucket"].to_pylist(), *[batch[c] for c in ("keys", "sets", "sizes", "counts")]):
+            if held and (b != bucket or size > STEP):
+                yield flush()
+            if b != bucket:
+                bucket, known, pivots = b, np.zeros(0, np.uint64), np.zeros(0, np.uint64)
             raw = np.frombuffer(keys.as_buffer(), np.uint8).reshape(-1, 5)
             wide = np.zeros((len(raw), 8), np.uint8)
             wide[:, :5] = raw
-            held.append((wide.view(np.uint64).ravel(), np.repeat(np.frombuffer(sets.as_buffer(), np.uint64), np.frombuffer(counts.as_buffer(), np.uint32))))
+            times = np.frombuffer(counts.as_buffer(), np.uint32)
+            held.append((wide.view(np.uint64).ravel(), np.repeat(np.frombuffer(sets.as_buffer(), np.uint64), times), np.repeat(np.frombuffer(sizes.as_buffer(), np.uint32), times).astype(np.int64)))
             size += len(raw)
-    if held and len(pairs := flush()):
-        yield table(pairs)
+    if held:
+        yield flush()
 
 
-def links(sets: list[np.ndarray], percent: int, other: list[np.ndarray] | None = None) -> np.ndarray:
-    """Boolean matrix of which sets link (with each other, or with those of ``other``)."""
-    rows = [*sets, *(other or [])]
-    size = np.array([len(x) for x in rows], dtype=np.int64)
-    h, at = np.unique(np.concatenate([*rows, np.zeros(0, np.uint64)]), return_inverse=True)
-    of = np.repeat(np.arange(len(rows)), size)
+def links(sets: list[np.ndarray], percent: int) -> np.ndarray:
+    """Boolean matrix of which sets link with each other."""
+    m, size = len(sets), np.array([len(x) for x in sets], dtype=np.int64)
+    h, at = np.unique(np.concatenate([*sets, np.zeros(0, np.uint64)]), return_inverse=True)
+    of = np.repeat(np.arange(m), size)
     shared = np.bincount(at, minlength=len(h)) > 1
     column = np.cumsum(shared) - 1
     keep = shared[at]
     of, at = of[keep], column[at[keep]]
     order = np.argsort(at, kind="stable")
     of, at = of[order], at[order]
-    n, m = len(sets), len(rows)
-    common = np.zeros((n, m if other is None else m - n), np.float32)
-    width = max(1, (8 << 20) // max(1, m))
-    for begin in range(0, int(column[-1]) + 1 if len(column) else 0, width):
+    common, columns = np.zeros((m, m), np.int64), int(column[-1]) + 1 if len(column) else 0
+    width = min(columns, max(1, (2 << 20) // max(1, m)))
+    for begin in range(0, columns, max(1, width)):
         a, b = np.searchsorted(at, [begin, begin + width])
         block = np.zeros((m, width), np.float32)
         block[of[a:b], at[a:b] - begin] = 1
-        common += block[:n] @ (block.T if other is None else block[n:].T)
-    right = size if other is None else size[n:]
-    both = size[:n, None] + right[None, :]
-    common = np.rint(common).astype(np.int64)
-    return (100 * common >= percent * (both - common)) & (common > 0)
+        common += (block @ block.T).astype(np.int64)
+    return (100 * common >= percent * (size[:, None] + size[None, :] - common)) & (common > 0)
 
 
 def _roots(linked: np.ndarray) -> np.ndarray:
@@ -260,42 +276,106 @@ def _roots(linked: np.ndarray) -> np.ndarray:
     return root
 
 
-EDGES = pa.schema([("left", pa.int64()), ("right", pa.int64())])
-
+def _groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Tables of whole groups of rows that come sorted by ``keys``, of about ``CHUNK`` bytes of text, and where each group begins and the last ends."""
+    held, size = [], 0
 
-def _verify(words: int, percent: int):
-    """Links inside one block of a group, as stars."""
+    def table(last: bool):
+        nonlocal held, size
+        rows = pa.Table.from_batches(held)
+        new = np.zeros(rows.num_rows, bool)
+        new[0] = True
+        for k in keys:
+            column = rows[k].to_numpy()
+            new[1:] |= column[1:] != column[:-1]
+        begin = np.flatnonzero(new)
+        stop = rows.num_rows if last else int(begin[-1])
+        held, size = rows.slice(stop).to_batches(), 0
+        return rows.slice(0, stop), np.unique(np.append(begin[begin <= stop], stop))
 
-    def run(group: pa.Table) -> pa.Table:
-        h, row = shingle_sets(group["text"], words)
-        node = group["node"].to_numpy()
-        cut = np.searchsorted(row, np.arange(group.num_rows + 1))
-        sets = [h[a:b] for a, b in zip(cut, cut[1:])]
-        root = _roots(links(sets, percent) | np.eye(len(sets), dtype=bool))
-        differ = node != node[root]
-        return pa.Table.from_arrays([pa.array(node[differ]), pa.array(node[root][differ])], schema=EDGES)
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+            size += batch["text"].nbytes
+            if size >= CHUNK:
+                rows, begin = table(False)
+                if rows.num_rows:
+                    yield rows, begin
+    if held:
+        yield table(True)
+
+
+def _prefixes(sets: list[np.ndarray], role: np.ndarray, own: np.ndarray, percent: int) -> Iterator[tuple]:
+    """For each own set of a block: (index, differences from the centre, whether linked with it, how many of them to give).
+
+    With x = |A d B| and t = percent / 100, A and B link when (100 + percent) x <= (100 - percent) (|A| + |B|).
+    For differences from the centre, x = |dA| + |dB| - 2 c where c is what they have in common; so with
+    f(A) = (100 + percent) |dA| - (100 - percent) |A| they link when 2 (100 + percent) c >= f(A) + f(B). The centre
+    C is the largest set: f is never below f(C) = -g, and A links with C when f(A) <= g. Two sets need be
+    compared only if one, A, doesn't link with C, so f(A) > g and c >= 1. A set that must share c of its d
+    differences shares one of the first d - c + 1 in any order that all sets agree on; here the rarest
+    among the witnesses come first. ``many`` serves pairs of one set linked with the centre and one that
+    isn't, ``few`` pairs of two that aren't.
+    """
+    centre = sets[int(np.argmax(role == 2))]
+    differ = {k: np.setxor1d(sets[k], centre, assume_unique=True) for k in np.flatnonzero(own | (role == 1))}
+    seen, times = np.unique(np.concatenate([np.zeros(0, np.uint64), *[differ[k] for k in np.flatnonzero(role == 1)]]), return_counts=True)
+    twice, g = 2 * (100 + percent), (100 - percent) * len(centre)
+    for k in np.flatnonzero(own):
+        d = differ[k]
+        at = np.minimum(np.searchsorted(seen, d), max(0, len(seen) - 1))
+        often = np.where(seen[at] == d, times[at], 0) if len(seen) else np.zeros(len(d), int)
+        f = (100 + percent) * len(d) - (100 - percent) * len(sets[k])
+        linked = f <= g
+        few = len(d) + 1 - max(1, -(-(f + g + 1) // twice))
+        many = few if linked else len(d) + 1 - max(1, -(-(f - g) // twice))
+        yield k, d[np.lexsort((d, often))], linked, max(0, many), max(0, 0 if linked else few)
 
-    return run
 
+VERIFIED = "left long, right long, star long, n int, linked boolean, many int, few int, differ array<long>"
+VERIFIED_ARROW = pa.schema([("left", pa.int64()), ("right", pa.int64()), ("star", pa.int64()), ("n", pa.int32()), ("linked", pa.bool_()), ("many", pa.int32()), ("few", pa.int32()), ("differ", pa.list_(pa.int64()))])
 
-def _verify_pairs(words: int, percent: int):
-    """Links between two blocks of a group, where their components differ."""
 
-    def run(group: pa.Table) -> pa.Table:
-        h, row = shingle_sets(group["text"], words)
-        node, component = group["node"].to_numpy(), group["component"].to_numpy()
-        left = group["side"].to_numpy() == 0
-        cut = np.searchsorted(row, np.arange(group.num_rows + 1))
-        sets = [h[a:b] for a, b in zip(cut, cut[1:])]
-        a, b = np.flatnonzero(left), np.flatnonzero(~left)
-        if len(a) == 0 or len(b) == 0:
-            return EDGES.empty_table()
-        linked = links([sets[k] for k in a], percent, [sets[k] for k in b]) & (component[a][:, None] != component[b][None, :])
-        i, j = np.nonzero(linked)
-        pairs = np.unique(np.stack([component[a][i], component[b][j]], axis=1), axis=0)
-        return pa.Table.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], schema=EDGES)
+def _verify(words: int, percent: int):
+    """Links inside blocks as (left, right), and for stars of several blocks each own set's differences, with right null."""
 
-    return run
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, begin in _groups(batches, ["star", "block"]):
+            h, row = shingle_sets(rows["text"], words)
+            cut = np.searchsorted(row, np.arange(rows.num_rows + 1))
+            sets = [h[a:b] for a, b in zip(cut, cut[1:])]
+            star, blocks, node, role, own = (rows[c].to_numpy() for c in ("star", "blocks", "node", "role", "own"))
+            out = []
+            for a, b in zip(begin, begin[1:]):
+                once = a + np.unique(node[a:b], return_index=True)[1]  # repeated rows are one set
+                part, names = [sets[k] for k in once], node[once]
+                root = _roots(links(part, percent) | np.eye(len(part), dtype=bool))
+                out += [(int(x), int(y), None, None, None, None, None, None) for x, y in zip(names, names[root]) if x != y]
+                if blocks[a] > 1:
+                    out += [(int(names[k]), None, int(star[a]), len(part[k]), bool(linked), many, few, d.astype(np.int64)) for k, d, linked, many, few in _prefixes(part, role[once], own[once], percent)]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*out), VERIFIED_ARROW)], schema=VERIFIED_ARROW)
+
+    return trimmed(run)
+
+
+def _across(verified: DataFrame, percent: int) -> DataFrame:
+    """Links (left, right) between sets of different blocks of a star whose components differ so far."""
+    sets = verified.filter("right is null").drop("right").withColumnRenamed("left", "node")
+    label = components(verified.filter("right is not null").select("left", "right")).withColumnRenamed("component", "label")
+    sets = sets.join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    torn = sets.groupBy("star").agg(F.min("label").alias("a"), F.max("label").alias("b")).filter("a <> b").select("star")
+    sets = stage(sets.join(torn, "star"), "jaccard-apart")
+    each = sets.select("star", "node", "label", "linked", "many", "few", F.posexplode(F.slice("differ", 1, F.col("many"))).alias("at", "e"))
+    x, y = each.filter("not linked").alias("x"), each.alias("y")
+    mixed = F.col("y.linked") & (F.col("x.at") < F.col("x.many")) & (F.col("y.at") < F.col("y.many"))
+    alike = ~F.col("y.linked") & (F.col("x.at") < F.col("x.few")) & (F.col("y.at") < F.col("y.few")) & (F.col("x.node") < F.col("y.node"))
+    on = (F.col("x.star") == F.col("y.star")) & (F.col("x.e") == F.col("y.e")) & (F.col("x.label") != F.col("y.label")) & (mixed | alike)
+    pairs = x.join(y, on).select(F.col("x.star").alias("star"), F.col("x.node").alias("left"), F.col("y.node").alias("right")).distinct()
+    for side in ("left", "right"):
+        pairs = pairs.join(sets.select("star", F.col("node").alias(side), F.col("n").alias(f"n_{side}"), F.col("differ").alias(f"d_{side}")), ["star", side])
+    apart = F.size("d_left") + F.size("d_right") - 2 * F.size(F.array_intersect("d_left", "d_right"))
+    return pairs.filter((100 + percent) * apart.cast("long") <= (100 - percent) * (F.col("n_left") + F.col("n_right")).cast("long")).select("left", "right")
 
 
 def _described(words: int):
@@ -306,7 +386,7 @@ def _described(words: int):
             got = [rows["doc_id"].combine_chunks(), rows["_h"].combine_chunks(), pa.array(size), pa.array(a.view(np.int64)), pa.array(b.view(np.int64))]
             yield pa.RecordBatch.from_arrays(got, names=["doc_id", "_h", "n", "ka", "kb"])
 
-    return run
+    return trimmed(run)
 
 
 def _linked(docs: DataFrame, words: int, percent: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
@@ -317,43 +397,32 @@ def _linked(docs: DataFrame, words: int, percent: int, id_col: str, text_col: st
     known = stage(rows.select("doc_id", "_h", "text").mapInArrow(_described(words), f"doc_id {id_type}, _h long, n long, ka long, kb long"), "jaccard-sets")
     whole = known.agg(F.max("n").alias("largest"), F.sum("n").alias("total")).first()
     largest, total = int(whole["largest"] or 0), int(whole["total"] or 0)
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    buckets = max(parts, int(total * 0.9) // BUCKET)
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * total // BUCKET)
 
-    signed = rows.select("text").mapInArrow(_sign(words, percent, largest, buckets), "bucket int, keys binary, sets binary, counts binary")
-    stars = signed.repartitionById(buckets, F.col("bucket")).sortWithinPartitions("bucket").mapInArrow(_stars, "left long, right long")
-    groups = stage(components(stars).select(F.col("node").alias("ka"), F.col("component").alias("cluster")), "jaccard-groups")
+    signed = rows.select("text").mapInArrow(_sign(words, percent, largest, buckets), "bucket int, chunk long, keys binary, sets binary, sizes binary, counts binary")
+    stars = signed.repartitionById(buckets, F.col("bucket")).sortWithinPartitions("bucket", "chunk").mapInArrow(trimmed(_stars), "left long, right long")
+    stars = stage(stars.distinct(), "jaccard-stars")
 
     # one node for each distinct set; a node's number is fixed once the table is written
     nodes = known.filter("n > 0").groupBy("ka", "kb", "n").agg(F.min("doc_id").alias("rep_id"), F.min(F.struct(F.col("doc_id").isNull().alias("u"), F.col("doc_id").alias("i"), F.col("_h").alias("h"))).alias("rep"))
     nodes = stage(nodes.withColumn("node", F.monotonically_increasing_id()), "jaccard-nodes")
-    inside = nodes.join(groups, "ka")
-    sizes = inside.groupBy("cluster").agg(F.count("*").alias("m"), F.sum("n").alias("shingles"), F.min("node").alias("pivot")).filter("m > 1")
+    members = stars.select(F.col("left").alias("star"), F.col("right").alias("ka")).unionByName(stars.select(F.col("left").alias("star"), F.col("left").alias("ka")).distinct())
+    members = stage(members.join(nodes.select("ka", "node", "n", F.col("rep.i").alias("_i"), F.col("rep.h").alias("_h")), "ka").drop("ka"), "jaccard-members")
+    sizes = members.groupBy("star").agg(F.count("*").alias("m"), F.sum("n").alias("shingles"), F.max(F.struct("n", "node")).getField("node").alias("centre"))
     blocks = F.ceil(F.greatest(F.col("m") / BLOCK, F.col("shingles") / BLOCK_SHINGLES)).cast("int")
-    placed = inside.join(sizes, "cluster").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node", F.lit(3)), F.col("blocks")).cast("int"))
-    placed = placed.select("node", "cluster", "blocks", "block", (F.col("node") == F.col("pivot")).alias("pivot"), F.col("rep.i").alias("_i"), F.col("rep.h").alias("_h"))
-    texts = rows.join(placed, (rows["doc_id"].eqNullSafe(placed["_i"])) & (rows["_h"] == placed["_h"])).select("node", "cluster", "blocks", "block", "pivot", "text")
-    texts = stage(texts, "jaccard-texts")
-
-    everywhere = F.when(F.col("pivot"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("block"))
-    first = texts.select("node", "cluster", F.explode(everywhere).alias("block"), "text")
-    verified = stage(first.groupBy("cluster", "block").applyInArrow(_verify(words, percent), "left long, right long"), "jaccard-links")
-    joined = components(verified)
-    if texts.filter("blocks > 1").limit(1).count():
-        label = texts.filter("blocks > 1").join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        apart = label.groupBy("cluster").agg(F.count_distinct("component").alias("c")).filter("c > 1").drop("c")
-        # sets of the largest component needn't meet each other; all other pairs of blocks are compared
-        label = stage(label.join(apart, "cluster").select("node", "cluster", "blocks", "block", "text", "component"), "jaccard-apart")
-        main = label.groupBy("cluster", "component").count().groupBy("cluster").agg(F.max_by("component", F.struct("count", "component")).alias("main"))
-        label = label.join(main, "cluster").withColumn("rest", F.col("component") != F.col("main"))
-        others = label.select("node", "cluster", "block", "text", "component", "rest", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("with"))
-        left = others.filter("rest").select("node", "cluster", "text", "component", F.col("block").alias("b0"), F.col("with").alias("b1"), F.lit(0).alias("side"))
-        right = others.select("node", "cluster", "text", "component", F.col("with").alias("b0"), F.col("block").alias("b1"), F.lit(1).alias("side"))
-        needed = left.select("cluster", "b0").distinct()
-        right = right.join(needed, ["cluster", "b0"], "left_semi")
-        more = left.unionByName(right).groupBy("cluster", "b0", "b1").applyInArrow(_verify_pairs(words, percent), "left long, right long")
-        joined = components(verified.unionByName(stage(more, "jaccard-cross")))
-    return known, nodes.join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    witness = (F.col("blocks") > 1) & (F.pmod(F.xxhash64("node", F.lit(7)), F.col("m")) < WITNESSES)
+    role = F.when(F.col("node") == F.col("centre"), 2).when(witness, 1).otherwise(0)
+    placed = members.join(sizes, "star").withColumn("blocks", blocks).withColumn("home", F.pmod(F.xxhash64("node", F.lit(3)), F.col("blocks")).cast("int"))
+    placed = placed.select("star", "blocks", "home", "node", role.alias("role"), "_i", "_h")
+    texts = rows.join(placed, rows["doc_id"].eqNullSafe(placed["_i"]) & (rows["_h"] == placed["_h"]))
+    everywhere = F.when(F.col("role") > 0, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("home"))
+    texts = texts.select("star", "blocks", "home", "node", "role", "text", F.explode(everywhere).alias("block")).withColumn("own", F.col("block") == F.col("home"))
+    dealt = texts.select("star", "block", "blocks", "node", "role", "own", "text").repartition("star", "block").sortWithinPartitions("star", "block", "node")
+    verified = stage(dealt.mapInArrow(_verify(words, percent), VERIFIED), "jaccard-verified")
+    found = verified.filter("right is not null").select("left", "right")
+    if not verified.filter("right is null").isEmpty():
+        found = found.unionByName(_across(verified, percent))
+    return known, nodes.join(components(found), "node", "left").withColumn("component", F.coalesce("component", "node"))
 
 
 def jaccard_components(docs: DataFrame, words: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -368,7 +437,8 @@ def jaccard_components(docs: DataFrame, words: int = 4, percent: int = 85, id_co
 def deduplicate(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of each group of linked documents: that with the smallest id (of repeated rows, one).
 
-    Ids needn't be unique: of unlinked documents that share an id, or have none, each keeps its row.
+    Ids needn't be unique: of unlinked documents that share an id, or have none, each keeps its row. Null and
+    empty texts are linked with nothing, so of those only repeated rows go. Columns pass through as they are.
     """
     known, best = _linked(docs, words, percent, id_col, text_col)
     keep = best.groupBy("component").agg(F.min("rep").alias("rep")).select(F.col("rep.i").alias("_id"), F.col("rep.h").alias("_k"))
