@@ -12,12 +12,12 @@ since with at most e of them some agreed signature has content. e is set by the
 Sets that share a signature are candidates. Each signature has one pivot; a pivot's star is all sets that
 share a signature with it there, so every linked pair lies in some star, and stars of different pivots
 stay apart: nothing is merged before it is verified. A star is cut into blocks of bounded size, each with
-the star's centre (its largest set). Inside a block all pairs are compared exactly, by matrix products of
-incidence columns. Across blocks, sets that the links so far leave in different components are compared
-by their differences from the centre: linked sets must share some of these, so each set gives the rarest
-few of its differences (``_prefixes``), sets with one in common meet in a join, and the size of the
-common difference settles the pair. Components are taken of verified links only. No link is lost, no star
-has to fit one task, and no text is sent for pairs of blocks.
+the star's witnesses, a few of its sets. Inside a block all pairs are compared exactly, by matrix products
+of incidence columns. Across blocks, sets that the links so far leave in different components are compared
+by their differences from the star's centre, the witness with most links to others: linked sets must share
+some of these, so each set gives the rarest few of its differences (``_prefixes``), sets with one in common
+meet in a join, and the size of the common difference settles the pair. Components are taken of verified
+links only. No link is lost, no star has to fit one task, and no text is sent for pairs of blocks.
 
 Nulls and edges: null text, or text without words, is an empty set, linked with nothing: its component
 is its own id; fewer words than a shingle count as one; repeated rows are copies; a null id never is a
@@ -48,7 +48,7 @@ CHUNK, BUCKET, BLOCK, BLOCK_SHINGLES = 1 << 20, 4_000_000, 512, 1_000_000
 LEAST_CONTENT = 7
 #: Rows whose number fits beside 48 bits of hash; entries worked on at once.
 ROWS, STEP = 1 << 16, 1 << 20
-#: Sets (about) of a star that tell which differences from its centre are common.
+#: Sets (about) of a star that choose its centre and tell which differences from it are common.
 WITNESSES = 32
 
 
@@ -241,14 +241,14 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield flush()
 
 
-def links(sets: list[np.ndarray], percent: int) -> np.ndarray:
-    """Boolean matrix of which sets link with each other."""
+def shared(sets: list[np.ndarray]) -> np.ndarray:
+    """How many shingles each two sets have in common."""
     m, size = len(sets), np.array([len(x) for x in sets], dtype=np.int64)
     h, at = np.unique(np.concatenate([*sets, np.zeros(0, np.uint64)]), return_inverse=True)
     of = np.repeat(np.arange(m), size)
-    shared = np.bincount(at, minlength=len(h)) > 1
-    column = np.cumsum(shared) - 1
-    keep = shared[at]
+    several = np.bincount(at, minlength=len(h)) > 1
+    column = np.cumsum(several) - 1
+    keep = several[at]
     of, at = of[keep], column[at[keep]]
     order = np.argsort(at, kind="stable")
     of, at = of[order], at[order]
@@ -259,6 +259,13 @@ def links(sets: list[np.ndarray], percent: int) -> np.ndarray:
         block = np.zeros((m, width), np.float32)
         block[of[a:b], at[a:b] - begin] = 1
         common += (block @ block.T).astype(np.int64)
+    np.fill_diagonal(common, size)
+    return common
+
+
+def links(common: np.ndarray, percent: int) -> np.ndarray:
+    """Boolean matrix of which sets link, from what they have in common."""
+    size = np.diag(common)
     return (100 * common >= percent * (size[:, None] + size[None, :] - common)) & (common > 0)
 
 
@@ -305,21 +312,24 @@ def _groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tupl
         yield table(True)
 
 
-def _prefixes(sets: list[np.ndarray], role: np.ndarray, own: np.ndarray, percent: int) -> Iterator[tuple]:
-    """For each own set of a block: (index, differences from the centre, whether linked with it, how many of them to give).
+def _prefixes(sets: list[np.ndarray], common: np.ndarray, witness: np.ndarray, own: np.ndarray, percent: int) -> Iterator[tuple]:
+    """For each own set of a block: (index, differences from the centre, f, whether linked with it, how many of them to give).
 
     With x = |A d B| and t = percent / 100, A and B link when (100 + percent) x <= (100 - percent) (|A| + |B|).
-    For differences from the centre, x = |dA| + |dB| - 2 c where c is what they have in common; so with
-    f(A) = (100 + percent) |dA| - (100 - percent) |A| they link when 2 (100 + percent) c >= f(A) + f(B). The centre
-    C is the largest set: f is never below f(C) = -g, and A links with C when f(A) <= g. Two sets need be
-    compared only if one, A, doesn't link with C, so f(A) > g and c >= 1. A set that must share c of its d
-    differences shares one of the first d - c + 1 in any order that all sets agree on; here the rarest
-    among the witnesses come first. ``many`` serves pairs of one set linked with the centre and one that
-    isn't, ``few`` pairs of two that aren't.
+    For differences from a centre C, x = |dA| + |dB| - 2 c where c is what they have in common; so with
+    f(A) = (100 + percent) |dA| - (100 - percent) |A| they link when 2 (100 + percent) c >= f(A) + f(B). As |dA| is at
+    least how far the sizes of A and C are apart, f is never below f(C) = -g, and A links with C when
+    f(A) <= g. Two sets need be compared only if one, A, doesn't link with C, so f(A) > g and c >= 1. A set
+    that must share c of its d differences shares one of the first d - c + 1 in any order that all sets
+    agree on; here the rarest among the witnesses come first. So many are given as any partner may call for.
+    All blocks have the same witnesses, hence the same centre and order.
     """
-    centre = sets[int(np.argmax(role == 2))]
-    differ = {k: np.setxor1d(sets[k], centre, assume_unique=True) for k in np.flatnonzero(own | (role == 1))}
-    seen, times = np.unique(np.concatenate([np.zeros(0, np.uint64), *[differ[k] for k in np.flatnonzero(role == 1)]]), return_counts=True)
+    seers = np.flatnonzero(witness)
+    among = common[np.ix_(seers, seers)]
+    apart = np.diag(among)[:, None] + np.diag(among)[None, :] - 2 * among
+    centre = sets[seers[np.lexsort((apart.sum(axis=1), -links(among, percent).sum(axis=1)))[0]]]
+    differ = {k: np.setxor1d(sets[k], centre, assume_unique=True) for k in np.flatnonzero(own | witness)}
+    seen, times = np.unique(np.concatenate([np.zeros(0, np.uint64), *[differ[k] for k in seers]]), return_counts=True)
     twice, g = 2 * (100 + percent), (100 - percent) * len(centre)
     for k in np.flatnonzero(own):
         d = differ[k]
@@ -327,13 +337,12 @@ def _prefixes(sets: list[np.ndarray], role: np.ndarray, own: np.ndarray, percent
         often = np.where(seen[at] == d, times[at], 0) if len(seen) else np.zeros(len(d), int)
         f = (100 + percent) * len(d) - (100 - percent) * len(sets[k])
         linked = f <= g
-        few = len(d) + 1 - max(1, -(-(f + g + 1) // twice))
-        many = few if linked else len(d) + 1 - max(1, -(-(f - g) // twice))
-        yield k, d[np.lexsort((d, often))], linked, max(0, many), max(0, 0 if linked else few)
+        least = max(1, -(-(f + g + 1 if linked else f - g) // twice))
+        yield k, d[np.lexsort((d, often))], f, linked, max(0, len(d) + 1 - least)
 
 
-VERIFIED = "left long, right long, star long, n int, linked boolean, many int, few int, differ array<long>"
-VERIFIED_ARROW = pa.schema([("left", pa.int64()), ("right", pa.int64()), ("star", pa.int64()), ("n", pa.int32()), ("linked", pa.bool_()), ("many", pa.int32()), ("few", pa.int32()), ("differ", pa.list_(pa.int64()))])
+VERIFIED = "left long, right long, star long, n int, f long, linked boolean, given int, differ array<long>"
+VERIFIED_ARROW = pa.schema([("left", pa.int64()), ("right", pa.int64()), ("star", pa.int64()), ("n", pa.int32()), ("f", pa.int64()), ("linked", pa.bool_()), ("given", pa.int32()), ("differ", pa.list_(pa.int64()))])
 
 
 def _verify(words: int, percent: int):
@@ -344,15 +353,17 @@ def _verify(words: int, percent: int):
             h, row = shingle_sets(rows["text"], words)
             cut = np.searchsorted(row, np.arange(rows.num_rows + 1))
             sets = [h[a:b] for a, b in zip(cut, cut[1:])]
-            star, blocks, node, role, own = (rows[c].to_numpy() for c in ("star", "blocks", "node", "role", "own"))
+            star, blocks, node, witness, own = (rows[c].to_numpy() for c in ("star", "blocks", "node", "witness", "own"))
             out = []
             for a, b in zip(begin, begin[1:]):
                 once = a + np.unique(node[a:b], return_index=True)[1]  # repeated rows are one set
                 part, names = [sets[k] for k in once], node[once]
-                root = _roots(links(part, percent) | np.eye(len(part), dtype=bool))
+                common = shared(part)
+                root = _roots(links(common, percent))
                 out += [(int(x), int(y), None, None, None, None, None, None) for x, y in zip(names, names[root]) if x != y]
                 if blocks[a] > 1:
-                    out += [(int(names[k]), None, int(star[a]), len(part[k]), bool(linked), many, few, d.astype(np.int64)) for k, d, linked, many, few in _prefixes(part, role[once], own[once], percent)]
+                    found = _prefixes(part, common, witness[once], own[once], percent)
+                    out += [(int(names[k]), None, int(star[a]), len(part[k]), int(f), bool(linked), int(given), d.astype(np.int64)) for k, d, f, linked, given in found]
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*out), VERIFIED_ARROW)], schema=VERIFIED_ARROW)
 
@@ -360,17 +371,22 @@ def _verify(words: int, percent: int):
 
 
 def _across(verified: DataFrame, percent: int) -> DataFrame:
-    """Links (left, right) between sets of different blocks of a star whose components differ so far."""
+    """Links (left, right) between sets of different blocks of a star whose components differ so far.
+
+    Two sets meet at a difference they share only if enough of their differences follow it to reach what
+    they must have in common; of linked sets that holds for the first one they share.
+    """
     sets = verified.filter("right is null").drop("right").withColumnRenamed("left", "node")
     label = components(verified.filter("right is not null").select("left", "right")).withColumnRenamed("component", "label")
-    sets = sets.join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    sets = sets.join(label, "node", "left").withColumn("label", F.coalesce("label", "node")).withColumn("d", F.size("differ"))
     torn = sets.groupBy("star").agg(F.min("label").alias("a"), F.max("label").alias("b")).filter("a <> b").select("star")
     sets = stage(sets.join(torn, "star"), "jaccard-apart")
-    each = sets.select("star", "node", "label", "linked", "many", "few", F.posexplode(F.slice("differ", 1, F.col("many"))).alias("at", "e"))
+    each = sets.select("star", "node", "label", "linked", "f", "d", F.posexplode(F.slice("differ", 1, F.col("given"))).alias("at", "e"))
     x, y = each.filter("not linked").alias("x"), each.alias("y")
-    mixed = F.col("y.linked") & (F.col("x.at") < F.col("x.many")) & (F.col("y.at") < F.col("y.many"))
-    alike = ~F.col("y.linked") & (F.col("x.at") < F.col("x.few")) & (F.col("y.at") < F.col("y.few")) & (F.col("x.node") < F.col("y.node"))
-    on = (F.col("x.star") == F.col("y.star")) & (F.col("x.e") == F.col("y.e")) & (F.col("x.label") != F.col("y.label")) & (mixed | alike)
+    need = F.ceil((F.col("x.f") + F.col("y.f")) / (2 * (100 + percent)))
+    reached = (F.col("x.at") + need <= F.col("x.d")) & (F.col("y.at") + need <= F.col("y.d"))
+    once = F.col("y.linked") | (F.col("x.node") < F.col("y.node"))
+    on = (F.col("x.star") == F.col("y.star")) & (F.col("x.e") == F.col("y.e")) & (F.col("x.label") != F.col("y.label")) & once & reached
     pairs = x.join(y, on).select(F.col("x.star").alias("star"), F.col("x.node").alias("left"), F.col("y.node").alias("right")).distinct()
     for side in ("left", "right"):
         pairs = pairs.join(sets.select("star", F.col("node").alias(side), F.col("n").alias(f"n_{side}"), F.col("differ").alias(f"d_{side}")), ["star", side])
@@ -408,16 +424,16 @@ def _linked(docs: DataFrame, words: int, percent: int, id_col: str, text_col: st
     nodes = stage(nodes.withColumn("node", F.monotonically_increasing_id()), "jaccard-nodes")
     members = stars.select(F.col("left").alias("star"), F.col("right").alias("ka")).unionByName(stars.select(F.col("left").alias("star"), F.col("left").alias("ka")).distinct())
     members = stage(members.join(nodes.select("ka", "node", "n", F.col("rep.i").alias("_i"), F.col("rep.h").alias("_h")), "ka").drop("ka"), "jaccard-members")
-    sizes = members.groupBy("star").agg(F.count("*").alias("m"), F.sum("n").alias("shingles"), F.max(F.struct("n", "node")).getField("node").alias("centre"))
+    sizes = stage(members.groupBy("star").agg(F.count("*").alias("m"), F.sum("n").alias("shingles"), F.min("node").alias("least")), "jaccard-sizes")
     blocks = F.ceil(F.greatest(F.col("m") / BLOCK, F.col("shingles") / BLOCK_SHINGLES)).cast("int")
-    witness = (F.col("blocks") > 1) & (F.pmod(F.xxhash64("node", F.lit(7)), F.col("m")) < WITNESSES)
-    role = F.when(F.col("node") == F.col("centre"), 2).when(witness, 1).otherwise(0)
+    witness = (F.col("blocks") > 1) & ((F.pmod(F.xxhash64("node", F.lit(7)), F.col("m")) < WITNESSES) | (F.col("node") == F.col("least")))
     placed = members.join(sizes, "star").withColumn("blocks", blocks).withColumn("home", F.pmod(F.xxhash64("node", F.lit(3)), F.col("blocks")).cast("int"))
-    placed = placed.select("star", "blocks", "home", "node", role.alias("role"), "_i", "_h")
-    texts = rows.join(placed, rows["doc_id"].eqNullSafe(placed["_i"]) & (rows["_h"] == placed["_h"]))
-    everywhere = F.when(F.col("role") > 0, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("home"))
-    texts = texts.select("star", "blocks", "home", "node", "role", "text", F.explode(everywhere).alias("block")).withColumn("own", F.col("block") == F.col("home"))
-    dealt = texts.select("star", "block", "blocks", "node", "role", "own", "text").repartition("star", "block").sortWithinPartitions("star", "block", "node")
+    placed = placed.select("star", "blocks", "home", "node", witness.alias("witness"), "_i", "_h")
+    # the same plan at every size: texts are dealt by row, however few of them are wanted
+    texts = rows.hint("merge").join(placed, rows["doc_id"].eqNullSafe(placed["_i"]) & (rows["_h"] == placed["_h"]))
+    everywhere = F.when(F.col("witness"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("home"))
+    texts = texts.select("star", "blocks", "home", "node", "witness", "text", F.explode(everywhere).alias("block")).withColumn("own", F.col("block") == F.col("home"))
+    dealt = texts.select("star", "block", "blocks", "node", "witness", "own", "text").repartition("star", "block").sortWithinPartitions("star", "block", "node")
     verified = stage(dealt.mapInArrow(_verify(words, percent), VERIFIED), "jaccard-verified")
     found = verified.filter("right is not null").select("left", "right")
     if not verified.filter("right is null").isEmpty():
