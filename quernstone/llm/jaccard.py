@@ -9,15 +9,16 @@ of a part is a signature: linked sets agree on some choice in at least e + 1 par
 signature without shingles says little; it is given only by sets that have such in more than e parts,
 since with at most e of them some agreed signature has content. e is set by the band, not by the data.
 
-Sets that share a signature are candidates. Each signature has one pivot; a pivot's star is all sets that
-share a signature with it there, so every linked pair lies in some star, and stars of different pivots
-stay apart: nothing is merged before it is verified. A star is cut into blocks of bounded size, each with
-the star's witnesses, a few of its sets. Inside a block all pairs are compared exactly, by matrix products
-of incidence columns. Across blocks, sets that the links so far leave in different components are compared
-by their differences from the star's centre, the witness with most links to others: linked sets must share
-some of these, so each set gives the rarest few of its differences (``_prefixes``), sets with one in common
-meet in a join, and the size of the common difference settles the pair. Components are taken of verified
-links only. No link is lost, no star has to fit one task, and no text is sent for pairs of blocks.
+Sets that share a signature are candidates; in a bucket of signatures they hang on the smallest set they
+reach, and the components of those trees are groups that no link leaves. A group is merged before anything
+is verified, so it may hold much that isn't linked; hence its cost must not be its square. It is cut into
+blocks of bounded size, each with the group's witnesses, a few of its sets. Inside a block all pairs are
+compared exactly, by matrix products of incidence columns. Across blocks, sets that the links so far leave
+in different components are compared by their differences from the group's centre, the witness with most
+links to others: linked sets must share some of these, so each set gives the rarest few of its differences
+(``_prefixes``), sets with one in common meet in a join, and the size of the common difference settles the
+pair. Each text is sent once, whatever its group; components are taken of verified links. No link is lost and
+no group has to fit one task.
 
 Nulls and edges: null text, or text without words, is an empty set, linked with nothing: its component
 is its own id; fewer words than a shingle count as one; repeated rows are copies; a null id never is a
@@ -42,13 +43,13 @@ from quernstone.llm.exchange import chunk_numbers
 from quernstone.operators.graph import components
 from quernstone.session import stage
 
-#: Bytes of text worked on at once, signatures in a bucket, sets and shingles in a block of a star.
+#: Bytes of text worked on at once, signatures in a bucket, sets and shingles in a block of a group.
 CHUNK, BUCKET, BLOCK, BLOCK_SHINGLES = 1 << 20, 4_000_000, 512, 1_000_000
 #: Shingles that a signature of a band's smallest set should hold on average.
 LEAST_CONTENT = 7
 #: Rows whose number fits beside 48 bits of hash; entries worked on at once.
 ROWS, STEP = 1 << 16, 1 << 20
-#: Sets (about) of a star that choose its centre and tell which differences from it are common.
+#: Sets (about) of a group that choose its centre and tell which differences from it are common.
 WITNESSES = 32
 
 
@@ -175,7 +176,7 @@ def signatures(h: np.ndarray, row: np.ndarray, size: np.ndarray, bands: Bands) -
     return np.concatenate(out), np.concatenate(rows)
 
 
-SIGNED = pa.schema([("bucket", pa.int32()), ("chunk", pa.int64()), *[(c, pa.binary()) for c in ("keys", "sets", "sizes", "counts")]])
+SIGNED = pa.schema([("bucket", pa.int32()), ("chunk", pa.int64()), *[(c, pa.binary()) for c in ("keys", "sets", "counts")]])
 
 
 def _sign(words: int, percent: int, largest: int, buckets: int):
@@ -196,49 +197,64 @@ def _sign(words: int, percent: int, largest: int, buckets: int):
             for begin, end in zip(cuts, np.append(cuts[1:], len(bucket))):
                 own, counts = np.unique(of[begin:end], return_counts=True)
                 keys = np.ascontiguousarray(sig[begin:end]).view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
-                packed = [keys, a[own].tobytes(), size[own].astype(np.uint32).tobytes(), counts.astype(np.uint32).tobytes()]
+                packed = [keys, a[own].tobytes(), counts.astype(np.uint32).tobytes()]
                 yield pa.RecordBatch.from_arrays([pa.array([bucket[begin]], pa.int32()), pa.array([chunk], pa.int64()), *[pa.array([x]) for x in packed]], schema=SIGNED)
 
     return trimmed(run)
 
 
-def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs a signature's pivot with every other set that has it; rows come sorted by bucket and chunk.
-
-    The pivot is the first set seen, of those seen at once the largest: chunks come in one order to all
-    buckets, so the signatures of a group of like sets mostly have one pivot.
-    """
-    bucket, known, pivots = None, np.zeros(0, np.uint64), np.zeros(0, np.uint64)
-    held, size = [], 0
+def _hung(left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The smallest key that each key reaches by the given pairs, for those that reach a smaller one."""
+    keys, at = np.unique(np.concatenate([left, right]), return_inverse=True)
+    a, b = at[: len(left)], at[len(left) :]
+    root = np.arange(len(keys))
+    while len(a):
+        low = np.minimum(root[a], root[b])
+        np.minimum.at(root, root[a], low)
+        np.minimum.at(root, root[b], low)
+        while not np.array_equal(root, up := root[root]):
+            root = up
+        torn = root[a] != root[b]
+        a, b = a[torn], b[torn]
+    lower = root != np.arange(len(keys))
+    return keys[root[lower]], keys[lower]
+
+
+def _trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Hangs sets that share a signature on the smallest set they reach in this task; rows come sorted by bucket and chunk."""
+    bucket, known, firsts = None, np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+    held, size, left, right = [], 0, np.zeros(0, np.uint64), np.zeros(0, np.uint64)
 
     def flush():
-        nonlocal known, pivots, held, size
-        keys, sets, sizes = (np.concatenate([first, *[x[k] for x in held]]) for k, first in enumerate((known, pivots, np.zeros(len(known), np.int64))))
-        new = np.arange(len(keys)) >= len(known)
+        nonlocal known, firsts, held, size, left, right
+        keys, sets = (np.concatenate([first, *[x[k] for x in held]]) for k, first in enumerate((known, firsts)))
         held, size = [], 0
-        order = np.lexsort((sets, -sizes, new, keys))
+        order = np.argsort(keys, kind="stable")
         keys, sets = keys[order], sets[order]
         start = np.concatenate([[True], keys[1:] != keys[:-1]])
-        known, pivots = keys[start], sets[start]
-        pivot = pivots[np.cumsum(start) - 1]
-        differ = pivot != sets
-        pairs = np.unique(np.stack([pivot[differ], sets[differ]], axis=1), axis=0).view(np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["left", "right"])
+        known, firsts = keys[start], sets[start]
+        first = firsts[np.cumsum(start) - 1]
+        differ = first != sets
+        left, right = _hung(np.concatenate([left, first[differ]]), np.concatenate([right, sets[differ]]))
 
     for batch in batches:
-        for b, keys, sets, sizes, counts in zip(batch["bucket"].to_pylist(), *[batch[c] for c in ("keys", "sets", "sizes", "counts")]):
+        for b, keys, sets, counts in zip(batch["bucket"].to_pylist(), *[batch[c] for c in ("keys", "sets", "counts")]):
             if held and (b != bucket or size > STEP):
-                yield flush()
+                flush()
             if b != bucket:
-                bucket, known, pivots = b, np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+                bucket, known, firsts = b, np.zeros(0, np.uint64), np.zeros(0, np.uint64)
             raw = np.frombuffer(keys.as_buffer(), np.uint8).reshape(-1, 5)
             wide = np.zeros((len(raw), 8), np.uint8)
             wide[:, :5] = raw
-            times = np.frombuffer(counts.as_buffer(), np.uint32)
-            held.append((wide.view(np.uint64).ravel(), np.repeat(np.frombuffer(sets.as_buffer(), np.uint64), times), np.repeat(np.frombuffer(sizes.as_buffer(), np.uint32), times).astype(np.int64)))
+            held.append((wide.view(np.uint64).ravel(), np.repeat(np.frombuffer(sets.as_buffer(), np.uint64), np.frombuffer(counts.as_buffer(), np.uint32))))
             size += len(raw)
+            if len(left) > STEP:  # trees of a task needn't be whole: what hangs together elsewhere is joined later
+                yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in (left, right)], names=["left", "right"])
+                left, right = left[:0], right[:0]
     if held:
-        yield flush()
+        flush()
+    if len(left):
+        yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in (left, right)], names=["left", "right"])
 
 
 def shared(sets: list[np.ndarray]) -> np.ndarray:
@@ -341,19 +357,19 @@ def _prefixes(sets: list[np.ndarray], common: np.ndarray, witness: np.ndarray, o
         yield k, d[np.lexsort((d, often))], f, linked, max(0, len(d) + 1 - least)
 
 
-VERIFIED = "left long, right long, star long, n int, f long, linked boolean, given int, differ array<long>"
-VERIFIED_ARROW = pa.schema([("left", pa.int64()), ("right", pa.int64()), ("star", pa.int64()), ("n", pa.int32()), ("f", pa.int64()), ("linked", pa.bool_()), ("given", pa.int32()), ("differ", pa.list_(pa.int64()))])
+VERIFIED = "left long, right long, group long, n int, f long, linked boolean, given int, differ array<long>"
+VERIFIED_ARROW = pa.schema([("left", pa.int64()), ("right", pa.int64()), ("group", pa.int64()), ("n", pa.int32()), ("f", pa.int64()), ("linked", pa.bool_()), ("given", pa.int32()), ("differ", pa.list_(pa.int64()))])
 
 
 def _verify(words: int, percent: int):
-    """Links inside blocks as (left, right), and for stars of several blocks each own set's differences, with right null."""
+    """Links inside blocks as (left, right), and for groups of several blocks each own set's differences, with right null."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, begin in _groups(batches, ["star", "block"]):
+        for rows, begin in _groups(batches, ["group", "block"]):
             h, row = shingle_sets(rows["text"], words)
             cut = np.searchsorted(row, np.arange(rows.num_rows + 1))
             sets = [h[a:b] for a, b in zip(cut, cut[1:])]
-            star, blocks, node, witness, own = (rows[c].to_numpy() for c in ("star", "blocks", "node", "witness", "own"))
+            group, blocks, node, witness, own = (rows[c].to_numpy() for c in ("group", "blocks", "node", "witness", "own"))
             out = []
             for a, b in zip(begin, begin[1:]):
                 once = a + np.unique(node[a:b], return_index=True)[1]  # repeated rows are one set
@@ -363,7 +379,7 @@ def _verify(words: int, percent: int):
                 out += [(int(x), int(y), None, None, None, None, None, None) for x, y in zip(names, names[root]) if x != y]
                 if blocks[a] > 1:
                     found = _prefixes(part, common, witness[once], own[once], percent)
-                    out += [(int(names[k]), None, int(star[a]), len(part[k]), int(f), bool(linked), int(given), d.astype(np.int64)) for k, d, f, linked, given in found]
+                    out += [(int(names[k]), None, int(group[a]), len(part[k]), int(f), bool(linked), int(given), d.astype(np.int64)) for k, d, f, linked, given in found]
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*out), VERIFIED_ARROW)], schema=VERIFIED_ARROW)
 
@@ -371,7 +387,7 @@ def _verify(words: int, percent: int):
 
 
 def _across(verified: DataFrame, percent: int) -> DataFrame:
-    """Links (left, right) between sets of different blocks of a star whose components differ so far.
+    """Links (left, right) between sets of different blocks of a group whose components differ so far.
 
     Two sets meet at a difference they share only if enough of their differences follow it to reach what
     they must have in common; of linked sets that holds for the first one they share.
@@ -379,17 +395,17 @@ def _across(verified: DataFrame, percent: int) -> DataFrame:
     sets = verified.filter("right is null").drop("right").withColumnRenamed("left", "node")
     label = components(verified.filter("right is not null").select("left", "right")).withColumnRenamed("component", "label")
     sets = sets.join(label, "node", "left").withColumn("label", F.coalesce("label", "node")).withColumn("d", F.size("differ"))
-    torn = sets.groupBy("star").agg(F.min("label").alias("a"), F.max("label").alias("b")).filter("a <> b").select("star")
-    sets = stage(sets.join(torn, "star"), "jaccard-apart")
-    each = sets.select("star", "node", "label", "linked", "f", "d", F.posexplode(F.slice("differ", 1, F.col("given"))).alias("at", "e"))
+    torn = sets.groupBy("group").agg(F.min("label").alias("a"), F.max("label").alias("b")).filter("a <> b").select("group")
+    sets = stage(sets.join(torn, "group"), "jaccard-apart")
+    each = sets.select("group", "node", "label", "linked", "f", "d", F.posexplode(F.slice("differ", 1, F.col("given"))).alias("at", "e"))
     x, y = each.filter("not linked").alias("x"), each.alias("y")
     need = F.ceil((F.col("x.f") + F.col("y.f")) / (2 * (100 + percent)))
     reached = (F.col("x.at") + need <= F.col("x.d")) & (F.col("y.at") + need <= F.col("y.d"))
     once = F.col("y.linked") | (F.col("x.node") < F.col("y.node"))
-    on = (F.col("x.star") == F.col("y.star")) & (F.col("x.e") == F.col("y.e")) & (F.col("x.label") != F.col("y.label")) & once & reached
-    pairs = x.join(y, on).select(F.col("x.star").alias("star"), F.col("x.node").alias("left"), F.col("y.node").alias("right")).distinct()
+    on = (F.col("x.group") == F.col("y.group")) & (F.col("x.e") == F.col("y.e")) & (F.col("x.label") != F.col("y.label")) & once & reached
+    pairs = x.join(y, on).select(F.col("x.group").alias("group"), F.col("x.node").alias("left"), F.col("y.node").alias("right")).distinct()
     for side in ("left", "right"):
-        pairs = pairs.join(sets.select("star", F.col("node").alias(side), F.col("n").alias(f"n_{side}"), F.col("differ").alias(f"d_{side}")), ["star", side])
+        pairs = pairs.join(sets.select("group", F.col("node").alias(side), F.col("n").alias(f"n_{side}"), F.col("differ").alias(f"d_{side}")), ["group", side])
     apart = F.size("d_left") + F.size("d_right") - 2 * F.size(F.array_intersect("d_left", "d_right"))
     return pairs.filter((100 + percent) * apart.cast("long") <= (100 - percent) * (F.col("n_left") + F.col("n_right")).cast("long")).select("left", "right")
 
@@ -415,25 +431,24 @@ def _linked(docs: DataFrame, words: int, percent: int, id_col: str, text_col: st
     largest, total = int(whole["largest"] or 0), int(whole["total"] or 0)
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * total // BUCKET)
 
-    signed = rows.select("text").mapInArrow(_sign(words, percent, largest, buckets), "bucket int, chunk long, keys binary, sets binary, sizes binary, counts binary")
-    stars = signed.repartitionById(buckets, F.col("bucket")).sortWithinPartitions("bucket", "chunk").mapInArrow(trimmed(_stars), "left long, right long")
-    stars = stage(stars.distinct(), "jaccard-stars")
+    signed = rows.select("text").mapInArrow(_sign(words, percent, largest, buckets), "bucket int, chunk long, keys binary, sets binary, counts binary")
+    trees = signed.repartitionById(buckets, F.col("bucket")).sortWithinPartitions("bucket", "chunk").mapInArrow(trimmed(_trees), "left long, right long")
+    groups = components(trees).select(F.col("node").alias("ka"), F.col("component").alias("group"))
 
     # one node for each distinct set; a node's number is fixed once the table is written
     nodes = known.filter("n > 0").groupBy("ka", "kb", "n").agg(F.min("doc_id").alias("rep_id"), F.min(F.struct(F.col("doc_id").isNull().alias("u"), F.col("doc_id").alias("i"), F.col("_h").alias("h"))).alias("rep"))
     nodes = stage(nodes.withColumn("node", F.monotonically_increasing_id()), "jaccard-nodes")
-    members = stars.select(F.col("left").alias("star"), F.col("right").alias("ka")).unionByName(stars.select(F.col("left").alias("star"), F.col("left").alias("ka")).distinct())
-    members = stage(members.join(nodes.select("ka", "node", "n", F.col("rep.i").alias("_i"), F.col("rep.h").alias("_h")), "ka").drop("ka"), "jaccard-members")
-    sizes = stage(members.groupBy("star").agg(F.count("*").alias("m"), F.sum("n").alias("shingles"), F.min("node").alias("least")), "jaccard-sizes")
+    members = stage(groups.join(nodes.select("ka", "node", "n", F.col("rep.i").alias("_i"), F.col("rep.h").alias("_h")), "ka").drop("ka"), "jaccard-members")
+    sizes = stage(members.groupBy("group").agg(F.count("*").alias("m"), F.sum("n").alias("shingles"), F.min("node").alias("least")), "jaccard-sizes")
     blocks = F.ceil(F.greatest(F.col("m") / BLOCK, F.col("shingles") / BLOCK_SHINGLES)).cast("int")
     witness = (F.col("blocks") > 1) & ((F.pmod(F.xxhash64("node", F.lit(7)), F.col("m")) < WITNESSES) | (F.col("node") == F.col("least")))
-    placed = members.join(sizes, "star").withColumn("blocks", blocks).withColumn("home", F.pmod(F.xxhash64("node", F.lit(3)), F.col("blocks")).cast("int"))
-    placed = placed.select("star", "blocks", "home", "node", witness.alias("witness"), "_i", "_h")
+    placed = members.join(sizes, "group").withColumn("blocks", blocks).withColumn("home", F.pmod(F.xxhash64("node", F.lit(3)), F.col("blocks")).cast("int"))
+    placed = placed.select("group", "blocks", "home", "node", witness.alias("witness"), "_i", "_h")
     # the same plan at every size: texts are dealt by row, however few of them are wanted
     texts = rows.hint("merge").join(placed, rows["doc_id"].eqNullSafe(placed["_i"]) & (rows["_h"] == placed["_h"]))
     everywhere = F.when(F.col("witness"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("home"))
-    texts = texts.select("star", "blocks", "home", "node", "witness", "text", F.explode(everywhere).alias("block")).withColumn("own", F.col("block") == F.col("home"))
-    dealt = texts.select("star", "block", "blocks", "node", "witness", "own", "text").repartition("star", "block").sortWithinPartitions("star", "block", "node")
+    texts = texts.select("group", "blocks", "home", "node", "witness", "text", F.explode(everywhere).alias("block")).withColumn("own", F.col("block") == F.col("home"))
+    dealt = texts.select("group", "block", "blocks", "node", "witness", "own", "text").repartition("group", "block").sortWithinPartitions("group", "block", "node")
     verified = stage(dealt.mapInArrow(_verify(words, percent), VERIFIED), "jaccard-verified")
     found = verified.filter("right is not null").select("left", "right")
     if not verified.filter("right is null").isEmpty():
