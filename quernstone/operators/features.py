@@ -69,3 +69,17 @@ def predicted(model, rows: DataFrame, vector: str, labels: Sequence[str]) -> Dat
     done = model.transform(ready).withColumn("scores", vector_to_array("probability"))
     name = F.get(F.array(*[F.lit(x) for x in labels]), F.col("prediction").cast("int"))
     return done.withColumn("predicted", name).drop("features", "rawPrediction", "probability", "prediction")
+
+
+#: Fixed ids of the start and end tokens; residues follow from 4 on in the order of the alphabet.
+START, END, FIRST = 0, 2, 4
+
+
+def residue_tokens(sequence: Column) -> Column:
+    """One id a residue between the start and the end token; a letter outside the alphabet is an error."""
+    def token(x: Column) -> Column:
+        at = F.position(x, F.lit(ALPHABET))
+        return F.when(at > 0, at - 1 + FIRST).otherwise(F.raise_error(F.concat(F.lit("not a residue: "), x)))
+
+    letters = F.filter(F.split(sequence, ""), lambda x: x != "")
+    return F.concat(F.array(F.lit(START)), F.transform(letters, token), F.array(F.lit(END)))

@@ -236,41 +236,6 @@ def identity_bins(spark, sf_dir):
 
 # ---- graph ----
 
-EDGES = """WITH RECURSIVE edges AS (SELECT DISTINCT l_orderkey * 2 + 1 AS a, l_partkey * 2 AS b, l_quantity FROM lineitem WHERE l_quantity >= {q} AND l_linenumber <= 2),
-sym AS (SELECT a, b FROM edges UNION SELECT b, a FROM edges), reach AS (SELECT a AS node, a AS other FROM sym UNION SELECT r.node, s.b FROM reach r JOIN sym s ON r.other = s.a),
-comp AS (SELECT node, min(other) AS component FROM reach GROUP BY node)
-"""
-
-
-def edge_components(spark, sf_dir, least: float) -> DataFrame:
-    lines = table(spark, sf_dir, "lineitem").filter((F.col("l_quantity") >= least) & (F.col("l_linenumber") <= 2))
-    return graph.components(lines.select((F.col("l_orderkey") * 2 + 1).alias("left"), (F.col("l_partkey") * 2).alias("right")))
-
-
-@query(EDGES.format(q=49) + "SELECT node, component FROM comp")
-def components_t(spark, sf_dir):
-    return edge_components(spark, sf_dir, 49)
-
-
-@query(EDGES.format(q=49) + ", sizes AS (SELECT component, count(*) AS n FROM comp GROUP BY 1) SELECT CASE WHEN n = 1 THEN '1' WHEN n <= 4 THEN '2-4' WHEN n <= 9 THEN '5-9' WHEN n <= 19 THEN '10-19' ELSE '20+' END AS bin, count(*) AS components, CAST(sum(n) AS BIGINT) AS nodes FROM sizes GROUP BY 1")
-def component_sizes(spark, sf_dir):
-    sizes = edge_components(spark, sf_dir, 49).groupBy("component").agg(F.count("*").alias("n"))
-    return sizes.groupBy(r.size_bin(F.col("n")).alias("bin")).agg(F.count("*").alias("components"), F.sum("n").alias("nodes"))
-
-
-@query(EDGES.format(q=50) + "SELECT component, concat('component-', sha256(concat(string_agg(sha256(CAST(node AS VARCHAR)), chr(10) ORDER BY sha256(CAST(node AS VARCHAR))), chr(10)))) AS name, count(*) AS n FROM comp GROUP BY component")
-def component_id(spark, sf_dir):
-    nodes = edge_components(spark, sf_dir, 50).withColumn("h", F.sha2(F.col("node").cast("string").cast("binary"), 256))
-    return nodes.groupBy("component").agg(r.group_digest("component-", F.collect_list("h")).alias("name"), F.count("*").alias("n"))
-
-
-@query(EDGES.format(q=50) + ", coarse_edges AS (SELECT DISTINCT l_orderkey * 2 + 1 AS a, l_partkey * 2 AS b FROM lineitem WHERE l_quantity >= 49 AND l_linenumber <= 2), csym AS (SELECT a, b FROM coarse_edges UNION SELECT b, a FROM coarse_edges), creach AS (SELECT a AS node, a AS other FROM csym UNION SELECT r.node, s.b FROM creach r JOIN csym s ON r.other = s.a), ccomp AS (SELECT node, min(other) AS coarse FROM creach GROUP BY node) SELECT count(*) AS fine_components, count(*) FILTER (k > 1) AS torn FROM (SELECT c.component, count(DISTINCT d.coarse) AS k FROM comp c JOIN ccomp d USING (node) GROUP BY 1)")
-def nested_check(spark, sf_dir):
-    fine, coarse = edge_components(spark, sf_dir, 50), edge_components(spark, sf_dir, 49).withColumnRenamed("component", "coarse")
-    per = fine.join(coarse, "node").groupBy("component").agg(F.count_distinct("coarse").alias("k"))
-    return per.agg(F.count("*").alias("fine_components"), F.count_if(F.col("k") > 1).alias("torn"))
-
-
 #: Identities whose components are asked for; a line's identity is twice its quantity in hundredths.
 IDENTITIES = (70, 50, 30)
 
@@ -284,6 +249,12 @@ def whole_components(spark, sf_dir, percent: int) -> DataFrame:
     return graph.components(edges, nodes=nodes).select(F.lit(percent).alias("percent"), "node", "component")
 
 
+#: Labels sink along the edges until none changes; {p} is the identity.
+LABELLED = """e{p} AS (SELECT l_orderkey * 2 + 1 AS a, l_partkey * 2 AS b FROM lineitem WHERE l_quantity * 2 >= {p} UNION SELECT l_partkey * 2, l_orderkey * 2 + 1 FROM lineitem WHERE l_quantity * 2 >= {p}),
+cc{p}(node, component) USING KEY (node) AS (SELECT node, node AS component FROM nodes UNION SELECT u.node, min(v.component) FROM recurring.cc{p} u JOIN e{p} ON e{p}.a = u.node JOIN cc{p} v ON e{p}.b = v.node WHERE v.component < u.component GROUP BY u.node)"""
+WHOLE = "WITH RECURSIVE nodes AS (SELECT o_orderkey * 2 + 1 AS node FROM orders UNION ALL SELECT p_partkey * 2 FROM part),\n" + ",\n".join(LABELLED.format(p=p) for p in IDENTITIES) + ",\nw AS (" + " UNION ALL ".join(f"SELECT {p} AS percent, node, component FROM cc{p}" for p in IDENTITIES) + ")\n"
+
+
 def all_components(spark, sf_dir) -> DataFrame:
     out = None
     for percent in IDENTITIES:
@@ -292,25 +263,25 @@ def all_components(spark, sf_dir) -> DataFrame:
     return out
 
 
-@query()
+@query(WHOLE + "SELECT percent, node, component FROM w")
 def components_whole(spark, sf_dir):
-    """Every node's component at each identity; recursive SQL is too slow here, tests hold it against union-find."""
+    """Every node's component at each identity; nodes without an edge are single."""
     return all_components(spark, sf_dir)
 
 
-@query()
+@query(WHOLE + ", s AS (SELECT percent, component, count(*) AS n FROM w GROUP BY ALL) SELECT percent, CASE WHEN n = 1 THEN '1' WHEN n <= 4 THEN '2-4' WHEN n <= 9 THEN '5-9' WHEN n <= 19 THEN '10-19' ELSE '20+' END AS bin, count(*) AS components, CAST(sum(n) AS BIGINT) AS nodes FROM s GROUP BY ALL")
 def component_sizes_whole(spark, sf_dir):
     sizes = all_components(spark, sf_dir).groupBy("percent", "component").agg(F.count("*").alias("n"))
     return sizes.groupBy("percent", r.size_bin(F.col("n")).alias("bin")).agg(F.count("*").alias("components"), F.sum("n").alias("nodes"))
 
 
-@query()
+@query(WHOLE + ", h AS (SELECT percent, component, sha256(CAST(node AS VARCHAR)) AS h FROM w) SELECT percent, component, concat('component-', sha256(concat(string_agg(h, chr(10) ORDER BY h), chr(10)))) AS name, count(*) AS n FROM h GROUP BY ALL")
 def component_id_whole(spark, sf_dir):
     nodes = all_components(spark, sf_dir).withColumn("h", F.sha2(F.col("node").cast("string").cast("binary"), 256))
     return nodes.groupBy("percent", "component").agg(r.group_digest("component-", F.collect_list("h")).alias("name"), F.count("*").alias("n"))
 
 
-@query()
+@query(WHOLE + ", k AS (SELECT f.percent, f.component, count(DISTINCT c.component) AS k FROM w f JOIN w c ON f.node = c.node AND c.percent = CASE f.percent WHEN 70 THEN 50 WHEN 50 THEN 30 END GROUP BY ALL) SELECT percent, count(*) AS fine_components, count(*) FILTER (k > 1) AS torn FROM k GROUP BY percent")
 def nested_check_whole(spark, sf_dir):
     """How many components of each identity are torn apart at the next lower one."""
     found, out = {p: whole_components(spark, sf_dir, p) for p in IDENTITIES}, None
@@ -524,10 +495,15 @@ def stratified_summary(spark, sf_dir):
     return done.select(*CELL, "bin", "status", "rows", F.round("accuracy", 9).alias("accuracy"))
 
 
-@query()
+@query(CLASSES + f""", gate AS (SELECT split, method, truth, count(*) AS n, count(DISTINCT component) AS c FROM long GROUP BY ALL),
+st AS (SELECT *, CASE WHEN n < 5 OR c < 3 THEN 'privacy_suppressed' WHEN n < 20 THEN 'insufficient_sequences' WHEN c < 10 THEN 'insufficient_components_for_ci' ELSE 'reportable' END AS status FROM gate),
+wrong AS (SELECT split, method, truth, first(predicted ORDER BY n DESC, list_position({NAMES}, predicted)) AS dominant FROM conf WHERE truth <> predicted GROUP BY ALL),
+every AS (SELECT r.split, r.method, r.label AS truth, coalesce(status, 'privacy_suppressed') AS status, precision, recall, f1, dominant FROM rates r LEFT JOIN st s ON r.split = s.split AND r.method = s.method AND r.label = s.truth LEFT JOIN wrong w ON r.split = w.split AND r.method = w.method AND r.label = w.truth)
+SELECT split, method, truth, status, CASE WHEN status IN ('reportable', 'insufficient_components_for_ci') THEN round(precision, 9) END AS precision, CASE WHEN status IN ('reportable', 'insufficient_components_for_ci') THEN round(recall, 9) END AS recall, CASE WHEN status IN ('reportable', 'insufficient_components_for_ci') THEN round(f1, 9) END AS f1, CASE WHEN status IN ('reportable', 'insufficient_components_for_ci') THEN dominant END AS dominant FROM every""")
 def class_errors(spark, sf_dir):
     """Per-class rates gated by the true class; the rates themselves are those of ``per_class``."""
-    return reports.class_errors(long_star(spark, sf_dir), CELL, "component", SEGMENTS)
+    done = reports.class_errors(long_star(spark, sf_dir), CELL, "component", SEGMENTS)
+    return done.select(*CELL, "truth", "status", *[F.round(c, 9).alias(c) for c in ("precision", "recall", "f1")], "dominant")
 
 
 @query()
@@ -551,11 +527,15 @@ def least_status(spark, sf_dir):
     return reports.least_status(reports.gated(rows, [*CELL, "truth", "stratum"], "component"), CELL)
 
 
-@query()
+@query("WITH RECURSIVE " + RECORDS.removeprefix("WITH ") + """, o AS (SELECT row_number() OVER (ORDER BY length(seq), h) AS k, CAST(length(seq) AS BIGINT) AS n FROM judged),
+f AS (SELECT k, CAST(0 AS BIGINT) AS batch, CAST(1 AS BIGINT) AS held, n FROM o WHERE k = 1 UNION ALL SELECT o.k, CASE WHEN (f.held + 1) * o.n > 20000 THEN f.batch + 1 ELSE f.batch END, CASE WHEN (f.held + 1) * o.n > 20000 THEN 1 ELSE f.held + 1 END, o.n FROM f JOIN o ON o.k = f.k + 1),
+b AS (SELECT batch, count(*) AS rows, max(n) AS longest, sum(n) AS tokens FROM f GROUP BY batch)
+SELECT count(*) AS batches, max(rows) AS most, round(avg(rows), 9) AS mean, round(sum(tokens) / sum(rows * longest), 9) AS efficiency FROM b""")
 def token_batches(spark, sf_dir):
-    """Records in batches under a padded budget; a sequential fold, held against hand-made cases in tests."""
-    rows = records(spark, sf_dir).select("doc_id", F.length("seq").cast("long").alias("n"))
-    return batching.batching_statistics(batching.token_batches(rows, "n", "doc_id", 20_000, shards=8), "n")
+    """Records in batches under a padded budget, packed in one order by length and hash: a sequential fold over (length, hash)."""
+    rows = judged(spark, sf_dir).select("h", F.length("seq").cast("long").alias("n"))
+    done = batching.batching_statistics(batching.token_batches(rows, "n", "h", 20_000), "n")
+    return done.select("batches", "most", F.round("mean", 9).alias("mean"), F.round("efficiency", 9).alias("efficiency"))
 
 
 # ---- lineage and text ----
@@ -645,3 +625,6 @@ def synthetic_demo(spark, sf_dir):
         crossed = splits.crossings(split, "component").withColumn("kind", F.lit(kind))
         done.append(metrics.macro(metrics.confusion(guess, ["kind"]), ["kind"], synthetic.LABELS).join(crossed, "kind"))
     return done[0].unionByName(done[1])
+
+
+from quernstone.plans import checks  # noqa: E402, F401  its queries are registered beside these

@@ -73,3 +73,30 @@ def coverage(first: DataFrame, second: DataFrame, key: str) -> DataFrame:
     """How many keys are in one table only, as one row; both 0 when they cover each other."""
     a, b = first.select(key).distinct().withColumn("_a", F.lit(True)), second.select(key).distinct().withColumn("_b", F.lit(True))
     return a.join(b, key, "full").agg(F.count_if(F.col("_b").isNull()).alias("first_only"), F.count_if(F.col("_a").isNull()).alias("second_only"))
+
+
+def read_clusters(spark: SparkSession, path: str, members: DataFrame) -> DataFrame:
+    """(representative, member) without a header; every ``members.member`` must be listed, and once."""
+    rows = read_tsv(spark, path, "representative string, member string", header=False)
+    counts = members.select("member").withColumn("_known", F.lit(True)).join(rows.groupBy("member").count(), "member", "full")
+    bad = counts.filter(F.col("_known").isNull() | F.col("count").isNull() | (F.col("count") != 1))
+    if (first := bad.orderBy("member").first()) is not None:
+        raise ValueError(f"{path}: {first['member']} is unknown, missing, or listed more than once")
+    return rows
+
+
+def read_released(spark: SparkSession, path: str, schema: str | T.StructType) -> DataFrame:
+    """A released CSV, in which NA is null."""
+    return spark.read.csv(path, schema=schema, header=True, enforceSchema=False, mode="FAILFAST", nullValue="NA")
+
+
+def read_matrix(spark: SparkSession, path: str, key: str, vector: str, width: int, rows: int | None = None) -> DataFrame:
+    """A matrix as rows of (key, vector): of one width, with finite cells and each key once; anything else is an error."""
+    found = spark.read.parquet(path)
+    cells = F.col(vector).cast("array<double>")
+    bad = F.coalesce((F.size(cells) != width) | F.exists(cells, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))), F.lit(True))
+    per = found.groupBy(key).agg(F.count("*").alias("n"), F.count_if(bad).alias("bad"))
+    seen = per.agg(F.sum("n").alias("rows"), F.sum("bad").alias("bad"), F.count_if(F.col("n") > 1).alias("repeated")).first()
+    if seen["bad"] or seen["repeated"] or rows not in (None, seen["rows"]):
+        raise ValueError(f"{path}: {seen['rows']} rows, {seen['bad']} bad vectors, {seen['repeated']} repeated keys")
+    return found

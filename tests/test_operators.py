@@ -262,3 +262,67 @@ def test_bundle_never_replaces(tmp_path):
     with pytest.raises(ValueError):
         publish(tmp_path / "c", {"../z": b"2"})
     assert sorted(p.name for p in tmp_path.iterdir()) == ["b"]
+
+
+def test_similar_finds_all_pairs(spark):
+    import itertools
+    import random
+
+    from quernstone.operators import search
+
+    rng = random.Random(3)
+    base = ["".join(rng.choice("ACDEF") for _ in range(60)) for _ in range(8)]
+    data = [(k, b[:rng.randrange(20, 60)] + "".join(rng.choice("ACDEF") for _ in range(rng.randrange(0, 30)))) for k, b in enumerate(base * 6)] + [(99, "ACD"), (100, "")]
+    words = {i: {s[k : k + 5] for k in range(len(s) - 4)} for i, s in data}
+    want = {(a, b) for a, b in itertools.combinations(sorted(words), 2) if words[a] & words[b] and 100 * len(words[a] & words[b]) >= 30 * len(words[a] | words[b])}
+    df = spark.createDataFrame(data, "id long, sequence string")
+    assert set(rows(search.similar(df), "query", "target")) == want and len(want) > 50
+    halves = df.filter("id % 2 = 0"), df.filter("id % 2 = 1")
+    assert {tuple(sorted(p)) for p in rows(search.similar(*halves), "query", "target")} == {p for p in want if p[0] % 2 != p[1] % 2}
+
+
+def test_references_and_resolution(spark):
+    from quernstone.operators import integrity
+
+    facts = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c")], "k long, v string")
+    nodes = spark.createDataFrame([(1, "x"), (2, "y")], "k long, n string")
+    assert rows(integrity.references(facts, nodes, "k"), "rows", "known", "unknown") == [(3, 2, 1)]
+    assert rows(integrity.resolved(facts.filter("k < 3"), nodes, "k"), "k", "n") == [(1, "x"), (2, "y")]
+    with pytest.raises(Exception, match="unknown k"):
+        integrity.resolved(facts, nodes, "k").collect()
+    near = integrity.numeric_replay(spark.createDataFrame([(1, [1.0, 2.0])], "k long, v array<double>"), spark.createDataFrame([(1, [1.0, 2.1, 3.0])], "k long, v array<double>"), "k", "v").first()
+    assert (near["cells"], near["single"], near["outside"]) == (3, 1, 1) and abs(near["max_abs"] - 0.1) < 1e-12
+
+
+def test_canonical_text(spark, tmp_path):
+    from decimal import Decimal
+
+    from quernstone.functions import text
+
+    assert text.compact_json({"b": [1, 0.1, None], "a": Decimal("1.50")}) == b'{"a":"1.50","b":[1,"0.1",null]}'
+    assert text.precise_csv(["a", "b"], [{"a": 0.2, "b": "x"}]) == "a,b\n0.20000000000000001,x\n"
+    assert text.without_fields({"run": 1, "x": [{"run": 2, "y": 3}]}, frozenset(["run"])) == {"x": [{"y": 3}]}
+    assert text.without_fields({"run": 1, "y": 2}, frozenset(["run"]), "<run>") == {"run": "<run>", "y": 2}
+    assert text.logical_path("a/./b") == "a/b"
+    for bad in ("", "/a", "../a", "a\\b"):
+        with pytest.raises(ValueError):
+            text.logical_path(bad)
+    assert text.redacted_tail("at /home/me/x.py: " + "ACDEFGHIKL" * 3) == "at <path>: <sequence>"
+    with pytest.raises(ValueError):
+        text.compact_json(float("nan"))
+    assert spark.range(1).select(text.exact_decimal(F.lit("0.123456").cast("decimal(10,8)"))).first()[0] == Decimal("0.123456")
+    with pytest.raises(Exception, match="digits would be lost"):
+        spark.range(1).select(text.exact_decimal(F.lit("0.1234567").cast("decimal(10,8)"))).collect()
+    released = tmp_path / "r.csv"
+    released.write_text("a,b\n1,NA\n2,0.5\n")
+    assert rows(tables.read_released(spark, str(released), "a int, b double"), "a", "b") == [(1, None), (2, 0.5)]
+    clusters = tmp_path / "c.tsv"
+    clusters.write_text("a\ta\na\tb\n")
+    known = spark.createDataFrame([("a",), ("b",)], "member string")
+    assert tables.read_clusters(spark, str(clusters), known).count() == 2
+    with pytest.raises(ValueError):
+        tables.read_clusters(spark, str(clusters), known.limit(1))
+    spark.createDataFrame([(1, [1.0, 2.0]), (2, [0.0, 1.0])], "k long, v array<float>").write.parquet(str(tmp_path / "m"))
+    assert tables.read_matrix(spark, str(tmp_path / "m"), "k", "v", 2, 2).count() == 2
+    with pytest.raises(ValueError):
+        tables.read_matrix(spark, str(tmp_path / "m"), "k", "v", 3)
