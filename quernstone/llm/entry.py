@@ -34,11 +34,36 @@ def op2_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP2_SQL = """
 WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
 d AS (SELECT page_id, octet_length(encode(body)) AS payload_bytes, sha256(body) AS payload_digest FROM p),
-f AS (SELECT payload_digest, min(page_id) AS first_id FROM d WHERE payload_bytes >= 100 GROUP BY payload_digest)
-SELECT d.page_id, CAST(d.payload_bytes AS BIGINT) AS payload_bytes, d.payload_digest,
-       CASE WHEN f.first_id IS NULL OR f.first_id = d.page_id THEN 'response' ELSE 'revisit' END AS record_type,
-       CASE WHEN f.first_id IS NULL OR f.first_id = d.page_id THEN NULL ELSE f.first_id END AS refers_to
-FROM d LEFT JOIN f ON d.payload_digest = f.payload_digest AND d.payload_bytes >= 100
+r AS (SELECT *, payload_bytes >= 100 AND row_number() OVER w > 1 AS again, min(page_id) OVER (PARTITION BY payload_digest) AS first_id FROM d WINDOW w AS (PARTITION BY payload_digest ORDER BY page_id))
+SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest, CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN again THEN first_id END AS refers_to FROM r
+"""
+
+WORDS = """w AS (SELECT doc_id, list_filter(string_split_regex({text}, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS ws FROM documents)"""
+
+OP6_SQL = "WITH " + WORDS.format(text="coalesce(text, '')") + """,
+p AS (SELECT doc_id, unnest(list_transform(range(1, len(ws) - 33), lambda i: {'i': i, 'h': sha256(array_to_string(ws[i:i + 34], ' '))}), recursive := true) FROM w WHERE len(ws) >= 35),
+r AS (SELECT h FROM p GROUP BY h HAVING count(*) > 1), g AS (SELECT DISTINCT doc_id, i + o AS pos, true AS gone FROM p SEMI JOIN r USING (h) CROSS JOIN range(35) t(o)),
+k AS (SELECT doc_id, unnest(ws) AS x, generate_subscripts(ws, 1) AS pos FROM w),
+j AS (SELECT doc_id, count(*) AS n, count(gone) AS m, string_agg(x, ' ' ORDER BY pos) FILTER (gone IS NULL) AS kept FROM k LEFT JOIN g USING (doc_id, pos) GROUP BY doc_id)
+SELECT w.doc_id, coalesce(n, 0) AS n_words, coalesce(m, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM w LEFT JOIN j USING (doc_id)
+"""
+
+OP9_SQL = """WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS hx FROM documents), n AS (SELECT *, length(hx) // 2 AS n FROM d),
+p AS (SELECT doc_id, unnest(list_transform(range(0, n - 99), lambda i: {'i': i, 'h': md5(substring(hx, CAST(2 * i + 1 AS INTEGER), 200))}), recursive := true) FROM n WHERE n >= 100),
+r AS (SELECT doc_id, i FROM p QUALIFY row_number() OVER (PARTITION BY h ORDER BY doc_id, i) > 1),
+s AS (SELECT *, i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) <= 100 AS joined FROM r), t AS (SELECT *, count(*) FILTER (NOT coalesce(joined, false)) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM s),
+g AS (SELECT doc_id, run, min(i) AS a, max(i) + 100 AS b FROM t GROUP BY ALL), h AS (SELECT *, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS before FROM g),
+k AS (SELECT h.doc_id, count(*) AS spans, sum(b - a) AS gone, string_agg(substring(hx, CAST(2 * before + 1 AS INTEGER), CAST(2 * (a - before) AS INTEGER)), '' ORDER BY a) AS kept, max(b) AS last FROM h JOIN n USING (doc_id) GROUP BY h.doc_id)
+SELECT n.doc_id, n.n AS n_bytes, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed, coalesce(spans, 0) AS n_spans, sha256(unhex(coalesce(kept, '') || substring(hx, CAST(2 * coalesce(last, 0) + 1 AS INTEGER)))) AS kept_sha256 FROM n LEFT JOIN k USING (doc_id)
+"""
+
+OP10_SQL = "WITH RECURSIVE " + WORDS.format(text="translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')") + """,
+s AS (SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 4 THEN [array_to_string(ws, ' ')] ELSE list_distinct(list_transform(range(1, len(ws) - 2), lambda i: array_to_string(ws[i:i + 3], ' '))) END AS sh FROM w),
+n AS (SELECT doc_id, len(sh) AS n FROM s), x AS (SELECT doc_id, unnest(sh) AS h FROM s),
+c AS (SELECT a.doc_id AS l, b.doc_id AS r, count(*) AS c FROM x a JOIN x b ON a.h = b.h AND a.doc_id < b.doc_id GROUP BY ALL),
+e AS (SELECT l AS a, r AS b FROM c JOIN n y ON l = y.doc_id JOIN n z ON r = z.doc_id WHERE 100 * c >= 85 * (y.n + z.n - c)), both_ways AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+cc(node, component) USING KEY (node) AS (SELECT doc_id, doc_id FROM n UNION SELECT u.node, min(v.component) FROM recurring.cc u JOIN both_ways ON a = u.node JOIN cc v ON b = v.node WHERE v.component < u.component GROUP BY u.node)
+SELECT doc_id, n AS n_shingles, component AS component_id FROM n JOIN cc ON doc_id = node
 """
 
 
@@ -129,4 +154,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_warc_round_trip": OP2_SQL}
+    return {"op2_warc_round_trip": OP2_SQL, "op6_anchor_repeats": OP6_SQL, "op9_parse_repeats": OP9_SQL, "op10_jaccard_components": OP10_SQL}
