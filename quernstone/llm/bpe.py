@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quernstone.llm.common import trimmed
 from quernstone.session import stage
 
 CHUNK, OVERLAP, MARGIN = 1 << 16, 1 << 10, 16
@@ -96,7 +97,7 @@ def _encoded(rows: DataFrame, keep: list[str], path: str, pattern: str) -> DataF
                 yield from _with_ids(batch, batch["text"].to_pylist(), v, keep)
 
     schema = ", ".join([*(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keep), "ids array<int>"])
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(trimmed(run), schema)
 
 
 def _zones(pattern: str, chunk: int, overlap: int):
@@ -154,4 +155,4 @@ def decode(rows: DataFrame, path: str, pattern: str, ids_col: str = "ids") -> Da
             yield pa.RecordBatch.from_arrays([*batch.columns, done], names=[*names, "decoded"])
 
     schema = ", ".join([*(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in names), "decoded binary"])
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(trimmed(run), schema)

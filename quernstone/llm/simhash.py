@@ -21,12 +21,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quernstone.llm.common import range_bounds, shard_of
+from quernstone.llm.common import range_shards
 from quernstone.session import stage
 
 SPACE = r"[\x20\x09-\x0D]+"
-#: Documents in a bucket of consecutive ids, and the most buckets there are (their first rows reach the driver).
-BUCKET_DOCS, BUCKETS = 256, 8192
+#: Documents in a bucket of consecutive ids; buckets whose neighbours are found in one window; first rows that may be broadcast.
+BUCKET_DOCS, NEIGHBOURS, SMALL = 256, 4096, 50_000
 LANES = 0x0000000100000001
 
 
@@ -76,12 +76,17 @@ def with_next(docs: DataFrame) -> DataFrame:
     """
     spark = docs.sparkSession
     ids = stage(docs.select("doc_id", F.xxhash64("text").alias("h")), "simhash-ids")
-    parts = max(1, min(BUCKETS, ids.count() // BUCKET_DOCS))
-    bounds = range_bounds(ids, "doc_id", parts)
-    bucket = F.when(F.col("doc_id").isNull(), 0).otherwise(shard_of(F.col("doc_id"), bounds)).cast("int")
-    firsts = sorted(ids.groupBy(bucket.alias("bucket")).agg(F.min(F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id", "h")).alias("f")).collect())
-    before = [(r["bucket"], r["f"]["doc_id"], r["f"]["h"], firsts[k - 1]["bucket"]) for k, r in enumerate(firsts)]
-    small = F.broadcast(spark.createDataFrame(before, "bucket int, first_id long, first_h long, before int"))  # at most BUCKETS rows
+    shard, _ = range_shards(ids, "doc_id", max(1, ids.count() // BUCKET_DOCS))
+    bucket = F.when(F.col("doc_id").isNull(), 0).otherwise(shard(F.col("doc_id"))).cast("int")
+    firsts = ids.groupBy(bucket.alias("bucket")).agg(F.min(F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id", "h")).alias("f"))
+    firsts = stage(firsts.select("bucket", F.col("f.doc_id").alias("first_id"), F.col("f.h").alias("first_h")), "simhash-firsts")
+    # each bucket's neighbour before it: inside runs of buckets by a window, between runs (one row for each) on the driver
+    run = F.floor(F.col("bucket") / NEIGHBOURS)
+    ends = firsts.groupBy(run.alias("run")).agg(F.min("bucket").alias("low"), F.max("bucket").alias("high"), F.count("*").alias("n")).orderBy("run").collect()
+    wrap = spark.createDataFrame([(r["low"], ends[k - 1]["high"]) for k, r in enumerate(ends)], "bucket int, wrap int")
+    small = firsts.withColumn("own", F.lag("bucket").over(Window.partitionBy(run).orderBy("bucket"))).join(F.broadcast(wrap), "bucket", "left")
+    small = small.select("bucket", "first_id", "first_h", F.coalesce("own", "wrap").alias("before"))
+    small = F.broadcast(small) if sum(r["n"] for r in ends) <= SMALL else small
     rows = docs.withColumn("h", F.xxhash64("text")).withColumn("bucket", bucket).join(small, "bucket")
     first = F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("h") == F.col("first_h"))
     own = F.struct("bucket", F.lit(False).alias("ghost"))

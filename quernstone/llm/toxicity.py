@@ -28,6 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quernstone.llm.common import trimmed
+
 TRAIN_ROWS, DIM, FOLDS, GRAM = 6000, 1 << 18, 3, 4
 #: Features seen in fewer rows, or with a smaller log ratio, are left out of a model.
 LEAST_ROWS, LEAST_RATIO = 3, 0.6
@@ -209,7 +211,7 @@ def score(docs: DataFrame, chain: Chain, text_col: str = "text") -> DataFrame:
             yield pa.RecordBatch.from_arrays(columns, names=[*keep, *new])
 
     schema = ", ".join([*[f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep], *[f"`{c}` double" for c in new[:-1]], f"`{new[-1]}` boolean"])
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(trimmed(run), schema)
 
 
 def reject(docs: DataFrame, chain: Chain, text_col: str = "text") -> DataFrame:

@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quernstone.llm.common import range_bounds, shard_of
+from quernstone.llm.common import range_shards, trimmed
 from quernstone.session import stage, staged_path
 
 SHARD_BYTES = 32 << 20
@@ -118,8 +118,8 @@ def write_warc(records: DataFrame, path: str, id_col: str = "page_id", uri_col:
     verdicts = narrow.filter(F.col("n") >= least_bytes).join(firsts, "digest").filter(~F.col("page_id").eqNullSafe(F.col("first_id")))
     total = narrow.agg(F.sum("n")).first()[0] or 0
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // SHARD_BYTES))
-    bounds = range_bounds(narrow, "page_id", parts)
-    shard = F.when(F.col("page_id").isNull(), F.pmod(F.xxhash64("digest"), F.lit(parts)).cast("int")).otherwise(shard_of(F.col("page_id"), bounds)).cast("int")
+    place, parts = range_shards(narrow, "page_id", parts)
+    shard = F.when(F.col("page_id").isNull(), F.pmod(F.xxhash64("digest"), F.lit(parts)).cast("int")).otherwise(place(F.col("page_id"))).cast("int")
     both = rows.select("page_id", "uri", "payload", "digest", F.lit(1).alias("kind"), F.lit(None).cast("long").alias("first_id")).unionByName(
         verdicts.select("page_id", F.lit(None).cast("string").alias("uri"), F.lit(None).cast("binary").alias("payload"), "digest", F.lit(0).alias("kind"), "first_id"))
     dealt = both.withColumn("shard", shard).repartitionById(parts, F.col("shard")).sortWithinPartitions(F.col("page_id").asc_nulls_last(), "digest", "kind", "uri")
@@ -151,7 +151,7 @@ def write_warc(records: DataFrame, path: str, id_col: str = "page_id", uri_col:
         if out:
             yield pa.RecordBatch.from_pylist(out, schema=pa.schema([("file", pa.string()), ("records", pa.int64()), ("bytes", pa.int64()), ("sha256", pa.string())]))
 
-    manifest = dealt.mapInArrow(write, MANIFEST)
+    manifest = dealt.mapInArrow(trimmed(write), MANIFEST)
     manifest.write.parquet(f"{path}/_manifest")
     return spark.read.schema(MANIFEST).parquet(f"{path}/_manifest")
 

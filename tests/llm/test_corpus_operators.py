@@ -161,6 +161,62 @@ def test_jaccard_chains_across_blocks(spark, monkeypatch):
     assert {c for _, c in got.values()} == {0}
 
 
+def test_parse_repeats_of_hot_triggers(spark, docs, corpus, monkeypatch):
+    """Triggers with very many phrases are told apart by their strings' hashes, to the same end."""
+    from quernstone.llm import prefix_parse
+
+    columns = ("doc_id", "n_bytes", "n_removed", "n_spans", "kept")
+    want = sorted(tuple(r) for r in prefix_parse.remove_repeats(docs, 30).select(*columns).collect())
+    monkeypatch.setattr(prefix_parse, "HOT", 1)
+    assert sorted(tuple(r) for r in prefix_parse.remove_repeats(docs, 30).select(*columns).collect()) == want
+
+
+def test_suffix_ranks():
+    from quernstone.llm.prefix_parse import suffix_ranks
+
+    rng = np.random.default_rng(13)
+    for _ in range(50):
+        data, length = rng.integers(97, 100, int(rng.integers(1, 200))).astype(np.uint8), int(rng.integers(1, 40))
+        whole = bytes(data) + bytes(length)
+        heads = [whole[k : k + length] for k in range(len(data))]
+        place = {x: k for k, x in enumerate(sorted(set(heads)))}
+        assert suffix_ranks(data, length).tolist() == [place[x] for x in heads]
+
+
+def test_texts_longer_than_a_chunk(spark):
+    """A text of several chunks, its second half a copy of its first, beside a short one."""
+    from quernstone.llm import anchors, jaccard, prefix_parse
+
+    rng = np.random.default_rng(14)
+    half = words(rng, 200_000, 10**6)
+    text = " ".join(half) + " "
+    assert len(text) > 1.2 * prefix_parse.CHUNK
+    df = spark.createDataFrame([(1, text + text), (2, "w1 w2 w3 w4 w5")], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in prefix_parse.remove_repeats(df).collect()}
+    assert (got[1]["n_bytes"], got[1]["n_removed"], got[1]["n_spans"]) == (2 * len(text), len(text), 1) and bytes(got[1]["kept"]) == text.encode()
+    got = {r["doc_id"]: r for r in anchors.remove_repeats(df).collect()}
+    assert (got[1]["n_words"], got[1]["n_removed"], got[1]["kept"]) == (400_000, 400_000, "") and got[2]["n_removed"] == 0
+    assert [tuple(x) for x in got[1]["repeats"]] == [(0, 200_000), (200_000, 400_000)] or [tuple(x) for x in got[1]["repeats"]] == [(0, 400_000)]
+    every = half + half
+    got = {r["doc_id"]: r["n_shingles"] for r in jaccard.jaccard_components(df).collect()}
+    assert got == {1: len({tuple(every[k : k + 4]) for k in range(len(every) - 3)}), 2: 2}
+
+
+def test_kept_words_by_segments(monkeypatch):
+    from quernstone.llm import anchors
+
+    rng = np.random.default_rng(15)
+    for _ in range(100):
+        body = "  ".join(words(rng, int(rng.integers(0, 40)))).encode()
+        edges = np.sort(rng.choice(41, 4, replace=False)).reshape(2, 2)
+        edges = edges[edges[:, 1] <= len(body.split())]
+        found = []
+        for long in (1 << 22, 0):
+            monkeypatch.setattr(anchors, "LONG", long)
+            found.append(anchors._without(body, edges))
+        assert found[0] == found[1]
+
+
 def test_shingle_sets_of_more_rows_than_16_bits():
     """A long run of null and empty texts is one chunk, however many rows it has."""
     import pyarrow as pa
@@ -314,3 +370,18 @@ def test_pipeline_stage_by_stage(spark):
     assert not any(re.search(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t or "") for t in kept["pii"]["text"])
     done = p.STAGES[-1][1](spark, docs, at)
     assert done.count() == len(kept["mixing"])
+
+
+def test_range_shards_cut_ranges_evenly(spark, monkeypatch):
+    """More shards than bounds: they ascend with the id, and none holds much more than its share."""
+    from pyspark.sql import functions as F
+
+    from quernstone.llm import common
+
+    monkeypatch.setattr(common, "COARSE", 4)
+    ids = spark.range(-500, 3500).unionByName(spark.range(100_000, 100_500)).repartition(3)
+    shard, parts = common.range_shards(ids, "id", 40)
+    got = ids.select("id", shard(F.col("id")).alias("s")).orderBy("id").collect()
+    own = [r["s"] for r in got]
+    assert own == sorted(own) and 0 <= own[0] and own[-1] < parts
+    assert max(Counter(own).values()) < 600 and len(set(own)) > 15
