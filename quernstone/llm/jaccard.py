@@ -11,13 +11,17 @@ since with at most e of them some agreed signature has content. e is set by the
 
 Sets that share a signature are candidates. Each signature has one pivot; a pivot's star is all sets that
 share a signature with it there, so every linked pair lies in some star, and stars of different pivots
-stay apart: nothing is merged before it is verified. A star is cut into blocks of bounded size, each with
-the star's witnesses, a few of its sets. Inside a block all pairs are compared exactly, by matrix products
+stay apart. Most sets of a star only have a passage in common with others, so before any text is sent, sets
+are compared by sketches: the parity of how many shingles fall on each of some bits (``sketches``). Sets
+differ in at least as many shingles as sketches in bits, so no linked pair is missed; the sets that sketches
+leave together, over all stars, make one group. Stars over ``SKETCHED`` sets, in which comparing all sketches would
+grow with the square, go on as groups without it. A group is cut into blocks of bounded size, each with
+the group's witnesses, a few of its sets. Inside a block all pairs are compared exactly, by matrix products
 of incidence columns. Across blocks, sets that the links so far leave in different components are compared
-by their differences from the star's centre, the witness with most links to others: linked sets must share
+by their differences from the group's centre, the witness with most links to others: linked sets must share
 some of these, so each set gives the rarest few of its differences (``_prefixes``), sets with one in common
 meet in a join, and the size of the common difference settles the pair. Components are taken of verified
-links only. No link is lost, no star has to fit one task, and no text is sent for pairs of blocks.
+links only. No link is lost, no group has to fit one task, and no text is sent for pairs of blocks.
 
 Nulls and edges: null text, or text without words, is an empty set, linked with nothing: its component
 is its own id; fewer words than a shingle count as one; repeated rows are copies; a null id never is a
@@ -48,6 +52,8 @@ CHUNK, BUCKET, BLOCK, BLOCK_SHINGLES = 1 << 20, 4_000_000, 512, 1_000_000
 LEAST_CONTENT = 7
 #: Rows whose number fits beside 48 bits of hash; entries worked on at once.
 ROWS, STEP = 1 << 16, 1 << 20
+#: Sets and shingles of a star whose sketches are compared; sketch bits for each shingle that linked sets may differ in, and the most.
+SKETCHED, SKETCHED_SHINGLES, SPREAD, MOST_BITS = 4096, 4_000_000, 8, 1 << 20
 #: Sets (about) of a star that choose its centre and tell which differences from it are common.
 WITNESSES = 32
 
@@ -90,6 +96,20 @@ def set_keys(h: np.ndarray, row: np.ndarray, n: int) -> tuple[np.ndarray, np.nda
     return size, a, b
 
 
+def sketches(h: np.ndarray, row: np.ndarray, size: np.ndarray, percent: int) -> pa.Array:
+    """For each row, the parity of its shingles on each of some bits, as bytes; their number is a power of two and grows with the set."""
+    k = 2 * size * (100 - percent) // (100 + percent) + 1
+    bits = np.clip(1 << np.ceil(np.log2(SPREAD * k)).astype(np.int64), 64, MOST_BITS)
+    first = np.concatenate([[0], np.cumsum(bits)])
+    odd = np.zeros(int(first[-1]), bool)
+    for low in range(0, len(h), STEP):
+        part, of = h[low : low + STEP], row[low : low + STEP]
+        at = first[of] + (mix64(part ^ np.uint64(0x3C6EF372FE94)) & (bits[of] - 1).astype(np.uint64)).astype(np.int64)
+        np.logical_xor.at(odd, at, True)
+    packed = np.packbits(odd, bitorder="little")
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(size), [None, pa.py_buffer(first // 8), pa.py_buffer(packed)]).cast(pa.binary())
+
+
 class Band:
     """How sets of one band sign: ``parts`` first-level parts of the shingle domain, each cut into ``cells``.
 
@@ -283,8 +303,8 @@ def _roots(linked: np.ndarray) -> np.ndarray:
     return root
 
 
-def _groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[pa.Table, np.ndarray]]:
-    """Tables of whole groups of rows that come sorted by ``keys``, of about ``CHUNK`` bytes of text, and where each group begins and the last ends."""
+def _groups(batches: Iterator[pa.RecordBatch], keys: list[str], content: str = "text") -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Tables of whole groups of rows that come sorted by ``keys``, of about ``CHUNK`` bytes of ``content``, and where each group begins and the last ends."""
     held, size = [], 0
 
     def table(last: bool):
@@ -303,7 +323,7 @@ def _groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tupl
     for batch in batches:
         if batch.num_rows:
             held.append(batch)
-            size += batch["text"].nbytes
+            size += batch[content].nbytes
             if size >= CHUNK:
                 rows, begin = table(False)
                 if rows.num_rows:
@@ -312,6 +332,45 @@ def _groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tupl
         yield table(True)
 
 
+def near(size: np.ndarray, sketch: list[np.ndarray], percent: int) -> np.ndarray:
+    """Boolean matrix of which sets may link, from sizes and sketches (of 64-bit words): all that do, and few others.
+
+    A sketch of twice as many bits, halved by an exclusive or of its halves, is the sketch of fewer bits.
+    """
+    words, m = np.array([len(x) for x in sketch]), len(sketch)
+    out = np.zeros((m, m), bool)
+    for width in np.unique(words):
+        own, wide = np.flatnonzero(words == width), np.flatnonzero(words >= width)
+        table = np.stack([np.bitwise_xor.reduce(sketch[k].reshape(-1, width), axis=0) for k in wide])
+        mine = np.searchsorted(wide, own)
+        columns = max(1, (1 << 18) // int(width))
+        for low in range(0, len(wide), columns):
+            part, names = table[low : low + columns], wide[low : low + columns]
+            rows = max(1, (1 << 18) // (int(width) * len(part)))
+            for begin in range(0, len(own), rows):
+                ours = own[begin : begin + rows]
+                apart = np.bitwise_count(table[mine[begin : begin + rows], None] ^ part[None]).sum(axis=2, dtype=np.int64)
+                out[np.ix_(ours, names)] = (100 + percent) * apart <= (100 - percent) * (size[ours][:, None] + size[names][None, :])
+    return out | out.T
+
+
+def _near(percent: int):
+    """(left, right) that hang together the sets of a star that may link; rows come sorted by star."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, begin in _groups(batches, ["star"], "sketch"):
+            node, size, sketch = rows["node"].to_numpy(), rows["n"].to_numpy(), rows["sketch"].to_pylist()
+            left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for a, b in zip(begin, begin[1:]):
+                root = a + _roots(near(size[a:b], [np.frombuffer(x, np.uint64) for x in sketch[a:b]], percent))
+                hung = np.flatnonzero(root != np.arange(a, b))
+                left.append(node[root[hung]])
+                right.append(node[a + hung])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(left)), pa.array(np.concatenate(right))], names=["left", "right"])
+
+    return trimmed(run)
+
+
 def _prefixes(sets: list[np.ndarray], common: np.ndarray, witness: np.ndarray, own: np.ndarray, percent: int) -> Iterator[tuple]:
     """For each own set of a block: (index, differences from the centre, f, whether linked with it, how many of them to give).
 
@@ -394,13 +453,24 @@ def _across(verified: DataFrame, percent: int) -> DataFrame:
     return pairs.filter((100 + percent) * apart.cast("long") <= (100 - percent) * (F.col("n_left") + F.col("n_right")).cast("long")).select("left", "right")
 
 
-def _described(words: int):
+def _candidates(members: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """(star, node, n): the groups that sketches leave, and stars too large for them as they are."""
+    small = (F.col("m") <= SKETCHED) & (F.col("shingles") <= SKETCHED_SHINGLES)
+    sizes = members.groupBy("star").agg(F.count("*").alias("m"), F.sum("n").alias("shingles")).filter("m > 1").select("star", small.alias("small"))
+    sized = stage(members.join(sizes, "star"), "jaccard-sized")
+    sent = sized.filter("small").join(nodes.select("node", "sketch"), "node").select("star", "node", "n", "sketch").repartition("star").sortWithinPartitions("star")
+    groups = components(stage(sent.mapInArrow(_near(percent), "left long, right long"), "jaccard-near"))
+    whole = groups.select(F.col("component").alias("star"), "node").join(nodes.select("node", "n"), "node").select("star", "node", "n")
+    return whole.unionByName(sized.filter("not small").select("star", "node", "n"))
+
+
+def _described(words: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in chunked(batches, CHUNK):
             h, row = shingle_sets(rows["text"], words)
             size, a, b = set_keys(h, row, rows.num_rows)
-            got = [rows["doc_id"].combine_chunks(), rows["_h"].combine_chunks(), pa.array(size), pa.array(a.view(np.int64)), pa.array(b.view(np.int64))]
-            yield pa.RecordBatch.from_arrays(got, names=["doc_id", "_h", "n", "ka", "kb"])
+            got = [rows["doc_id"].combine_chunks(), rows["_h"].combine_chunks(), pa.array(size), pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), sketches(h, row, size, percent)]
+            yield pa.RecordBatch.from_arrays(got, names=["doc_id", "_h", "n", "ka", "kb", "sketch"])
 
     return trimmed(run)
 
@@ -410,7 +480,7 @@ def _linked(docs: DataFrame, words: int, percent: int, id_col: str, text_col: st
     spark = docs.sparkSession
     rows = with_row_key(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), "doc_id", "text")
     id_type = rows.schema["doc_id"].dataType.simpleString()
-    known = stage(rows.select("doc_id", "_h", "text").mapInArrow(_described(words), f"doc_id {id_type}, _h long, n long, ka long, kb long"), "jaccard-sets")
+    known = stage(rows.select("doc_id", "_h", "text").mapInArrow(_described(words, percent), f"doc_id {id_type}, _h long, n long, ka long, kb long, sketch binary"), "jaccard-sets")
     whole = known.agg(F.max("n").alias("largest"), F.sum("n").alias("total")).first()
     largest, total = int(whole["largest"] or 0), int(whole["total"] or 0)
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * total // BUCKET)
@@ -420,10 +490,11 @@ def _linked(docs: DataFrame, words: int, percent: int, id_col: str, text_col: st
     stars = stage(stars.distinct(), "jaccard-stars")
 
     # one node for each distinct set; a node's number is fixed once the table is written
-    nodes = known.filter("n > 0").groupBy("ka", "kb", "n").agg(F.min("doc_id").alias("rep_id"), F.min(F.struct(F.col("doc_id").isNull().alias("u"), F.col("doc_id").alias("i"), F.col("_h").alias("h"))).alias("rep"))
+    nodes = known.filter("n > 0").groupBy("ka", "kb", "n").agg(F.min("doc_id").alias("rep_id"), F.min(F.struct(F.col("doc_id").isNull().alias("u"), F.col("doc_id").alias("i"), F.col("_h").alias("h"))).alias("rep"), F.first("sketch").alias("sketch"))
     nodes = stage(nodes.withColumn("node", F.monotonically_increasing_id()), "jaccard-nodes")
     members = stars.select(F.col("left").alias("star"), F.col("right").alias("ka")).unionByName(stars.select(F.col("left").alias("star"), F.col("left").alias("ka")).distinct())
-    members = stage(members.join(nodes.select("ka", "node", "n", F.col("rep.i").alias("_i"), F.col("rep.h").alias("_h")), "ka").drop("ka"), "jaccard-members")
+    members = _candidates(members.join(nodes.select("ka", "node", "n"), "ka").drop("ka"), nodes, percent)
+    members = stage(members.join(nodes.select("node", F.col("rep.i").alias("_i"), F.col("rep.h").alias("_h")), "node"), "jaccard-members")
     sizes = stage(members.groupBy("star").agg(F.count("*").alias("m"), F.sum("n").alias("shingles"), F.min("node").alias("least")), "jaccard-sizes")
     blocks = F.ceil(F.greatest(F.col("m") / BLOCK, F.col("shingles") / BLOCK_SHINGLES)).cast("int")
     witness = (F.col("blocks") > 1) & ((F.pmod(F.xxhash64("node", F.lit(7)), F.col("m")) < WITNESSES) | (F.col("node") == F.col("least")))
