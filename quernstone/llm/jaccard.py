@@ -350,6 +350,7 @@ def near(size: np.ndarray, sketch: list[np.ndarray], percent: int) -> np.ndarray
             for begin in range(0, len(own), rows):
                 ours = own[begin : begin + rows]
                 apart = np.bitwise_count(table[mine[begin : begin + rows], None] ^ part[None]).sum(axis=2, dtype=np.int64)
+                apart = np.maximum(apart, np.abs(size[ours][:, None] - size[names][None, :]))  # sets differ at least as much as their sizes
                 out[np.ix_(ours, names)] = (100 + percent) * apart <= (100 - percent) * (size[ours][:, None] + size[names][None, :])
     return out | out.T
 

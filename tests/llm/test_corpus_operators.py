@@ -145,11 +145,13 @@ def test_jaccard_components(spark, docs, corpus, block, monkeypatch):
     assert jaccard.jaccard_components(docs.limit(0)).count() == 0
 
 
-def test_jaccard_chains_across_blocks(spark, monkeypatch):
-    """A long chain of near copies, each linked only with its neighbours."""
+@pytest.mark.parametrize("sketched", [4096, 2])
+def test_jaccard_chains_across_blocks(spark, sketched, monkeypatch):
+    """A long chain of near copies, each linked only with its neighbours; also where stars are too large for sketches."""
     from quernstone.llm import jaccard
 
     monkeypatch.setattr(jaccard, "BLOCK", 4)
+    monkeypatch.setattr(jaccard, "SKETCHED", sketched)
     rng = np.random.default_rng(6)
     base, rows = words(rng, 100, 10**6), []
     for k in range(40):
@@ -231,6 +233,31 @@ def test_shingle_sets_of_more_rows_than_16_bits():
         assert len(set(h.tolist())) == 6 and h[3] in h[4:]
 
 
+@pytest.mark.parametrize("percent", [80, 85, 50])
+def test_sketches_miss_no_link(percent):
+    """Sets of many sizes, linked ones among them with sketches of different lengths, and far ones that share half."""
+    import pyarrow as pa
+
+    from quernstone.llm.jaccard import links, near, shared, sketches
+
+    rng = np.random.default_rng(percent)
+    sets = [np.zeros(0, np.uint64)]
+    for n in (1, 2, 5, 17, 60, 61, 150, 400, 1200):
+        base = np.unique(rng.integers(0, 1 << 48, n, dtype=np.uint64))
+        sets.append(base)
+        for cut in (1, n // 12, n // 6, n // 2):
+            fresh = rng.integers(0, 1 << 48, cut, dtype=np.uint64)
+            sets += [base[cut:], np.unique(np.concatenate([base, fresh])), np.unique(np.concatenate([base[cut:], fresh]))]
+    size = np.array([len(x) for x in sets])
+    found = sketches(np.concatenate(sets), np.repeat(np.arange(len(sets)), size), size, percent).to_pylist()
+    assert len({len(x) for x in found}) > 4 and pa.array(found).null_count == 0
+    may = near(size, [np.frombuffer(x, np.uint64) for x in found], percent)
+    must = links(shared(sets), percent)
+    assert not (must & ~may).any() and must.sum() > 2 * len(sets)
+    large = size > 50
+    assert (may & ~must)[np.ix_(large, large)].sum() < must[np.ix_(large, large)].sum()
+
+
 def test_bands_cover_all_linked_sizes():
     from quernstone.llm.jaccard import Bands
 
