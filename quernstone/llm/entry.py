@@ -148,10 +148,89 @@ def op10_jaccard_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
+def _digest_numbers(column):
+    from pyspark.sql import functions as F
+
+    digest = F.sha2(column.cast("string").cast("binary"), 256)
+    return [F.conv(F.substring(digest, 8 * k + 1, 8), 16, 10).cast("long").alias(n) for k, n in enumerate("abcd")]
+
+
+def op11_as_of_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from quernstone.llm.asof import as_of
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "n_chars", "lang")
+    event = F.col("a") % 200000
+    versions = docs.select("*", *_digest_numbers(F.col("doc_id"))).select(
+        "doc_id", "source", "n_chars", "lang", event.alias("event"), (event - 60 + F.col("b") % 1200).alias("arrival"), (event + F.col("c") % 900).alias("expiry"))
+    # a label asks about its document's source; of a repeated id the smallest source counts
+    sources = docs.filter("doc_id is not null").groupBy("doc_id").agg(F.min("source").alias("source"))
+    labels = table(spark, sf_dir, "labels").select("doc_id")
+    asks = labels.hint("merge").join(sources.hint("merge"), "doc_id", "left").select("doc_id", "source", *_digest_numbers(F.col("doc_id"))).select("doc_id", "source", (F.col("d") % 200000).alias("t"))
+    found = as_of(asks, versions, key="source", at="t", tie="doc_id", carry=["n_chars", "lang"], lifetime=900)
+    age = F.col("t") - F.col("version.event")
+    fresh = age <= 20
+    status = F.when(F.col("version").isNull(), "none").when(fresh, "fresh").otherwise("stale")
+    return found.select("doc_id", "t", F.col("version.tie").alias("version_id"), age.alias("age"), status.alias("status"), F.when(fresh, F.col("version.n_chars")).alias("n_chars"), F.when(fresh, F.col("version.lang")).alias("lang"))
+
+
+OP11_SQL = """WITH h AS (SELECT doc_id, source, n_chars, lang, sha256(CAST(doc_id AS VARCHAR)) AS x FROM documents),
+p AS (SELECT *, CAST('0x' || substr(x, 1, 8) AS BIGINT) % 200000 AS event, CAST('0x' || substr(x, 9, 8) AS BIGINT) % 1200 AS b, CAST('0x' || substr(x, 17, 8) AS BIGINT) % 900 AS c FROM h),
+v AS (SELECT doc_id AS version_id, source, n_chars, lang, event, event - 60 + b AS arrival, event + c AS expiry FROM p WHERE source IS NOT NULL),
+s AS (SELECT doc_id, min(source) AS source FROM documents GROUP BY doc_id),
+q AS (SELECT row_number() OVER () AS row, l.doc_id, s.source, CAST('0x' || substr(sha256(CAST(l.doc_id AS VARCHAR)), 25, 8) AS BIGINT) % 200000 AS t FROM labels l LEFT JOIN s ON l.doc_id = s.doc_id),
+j AS (SELECT q.*, version_id, event, v.n_chars, v.lang, row_number() OVER (PARTITION BY q.row ORDER BY event DESC NULLS LAST, arrival DESC, version_id DESC) AS k FROM q LEFT JOIN v ON q.source = v.source AND v.event BETWEEN q.t - 900 AND q.t AND v.arrival <= q.t AND q.t < v.expiry)
+SELECT doc_id, t, version_id, t - event AS age, CASE WHEN event IS NULL THEN 'none' WHEN t - event > 20 THEN 'stale' ELSE 'fresh' END AS status, CASE WHEN t - event <= 20 THEN n_chars END AS n_chars, CASE WHEN t - event <= 20 THEN lang END AS lang FROM j WHERE k = 1
+"""
+
+
+def op12_sort_means(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quernstone.llm.centroids import clusters
+
+    return clusters(table(spark, sf_dir, "embeddings"), k=8, rounds=10, dim=64, scale=1024, seed=3)
+
+
+def _rounds(n: int) -> str:
+    """Rounds of assignment and means in SQL: c0 are the initial centroids (cluster, i, x), a{r} the assignments by them."""
+    out = []
+    for r in range(n + 1):
+        out.append(f"a{r} AS (SELECT row, cluster, distance FROM (SELECT v.row, c.cluster, CAST(sum((v.x - c.x) * (v.x - c.x)) AS BIGINT) AS distance FROM v JOIN c{r} c ON v.i = c.i GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY row ORDER BY distance, cluster) = 1)")
+        if r < n:
+            out.append(f"m{r} AS (SELECT cluster, i, sum(x) AS s, count(*) AS n FROM v JOIN a{r} USING (row) GROUP BY ALL)")
+            out.append(f"c{r + 1} AS (SELECT c.cluster, c.i, CASE WHEN n IS NULL THEN c.x ELSE CAST((s - ((s % n) + n) % n) // n AS BIGINT) END AS x FROM c{r} c LEFT JOIN m{r} m ON c.cluster = m.cluster AND c.i = m.i)")
+    return ",\n".join(out)
+
+
+OP12_SQL = """WITH e AS (SELECT row_number() OVER () AS row, vec_id, embedding FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64),
+v AS MATERIALIZED (SELECT row, generate_subscripts(embedding, 1) AS i, CAST(floor(unnest(CAST(embedding AS DOUBLE[])) * 1024) AS BIGINT) AS x FROM e),
+f AS (SELECT row, row_number() OVER (ORDER BY sha256('3:' || CAST(vec_id AS VARCHAR)), vec_id) - 1 AS cluster FROM e QUALIFY cluster < 8),
+c0 AS (SELECT cluster, i, x FROM f JOIN v USING (row)),
+""" + _rounds(10).replace(" AS (SELECT", " AS MATERIALIZED (SELECT") + """,
+n AS (SELECT cluster, sha256(string_agg(CAST(x AS VARCHAR), ',' ORDER BY i)) AS centroid_sha256 FROM c10 GROUP BY cluster),
+s AS (SELECT cluster, sum(distance) AS own FROM a10 GROUP BY cluster)
+SELECT vec_id, CAST(a.cluster AS INTEGER) AS cluster, distance, CAST(own AS BIGINT) AS cluster_inertia, CAST((SELECT sum(own) FROM s) AS BIGINT) AS inertia, centroid_sha256 FROM a10 a JOIN e USING (row) JOIN s USING (cluster) JOIN n USING (cluster)
+"""
+
+
+def op13_stable_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quernstone.llm.pstable import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "embeddings"), cosine=0.93)
+
+
+OP13_SQL = """WITH RECURSIVE v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding) AND list_max(list_transform(embedding, lambda x: abs(x))) > 0),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e) WHERE list_cosine_similarity(a.e, b.e) >= 0.93),
+n AS (SELECT a, count(*) AS n FROM l GROUP BY a),
+cc(node, component) USING KEY (node) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT u.node, min(w.component) FROM recurring.cc u JOIN l ON l.a = u.node JOIN cc w ON l.b = w.node WHERE w.component < u.component GROUP BY u.node)
+SELECT m.vec_id, coalesce(n, 0) AS n_links, component AS component_id, m.vec_id = component AS kept FROM embeddings m JOIN cc ON m.vec_id = node LEFT JOIN n ON m.vec_id = a
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_toxicity_chain, op2_warc_round_trip, op3_bpe_round_trip, op4_mix_sources, op5_simhash_edits, op6_anchor_repeats, op7_pii_spans, op8_descent_neighbours, op9_parse_repeats, op10_jaccard_components]
+    found = [op1_toxicity_chain, op2_warc_round_trip, op3_bpe_round_trip, op4_mix_sources, op5_simhash_edits, op6_anchor_repeats, op7_pii_spans, op8_descent_neighbours, op9_parse_repeats, op10_jaccard_components, op11_as_of_features, op12_sort_means, op13_stable_links]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_warc_round_trip": OP2_SQL, "op6_anchor_repeats": OP6_SQL, "op9_parse_repeats": OP9_SQL, "op10_jaccard_components": OP10_SQL}
+    return {"op2_warc_round_trip": OP2_SQL, "op6_anchor_repeats": OP6_SQL, "op9_parse_repeats": OP9_SQL, "op10_jaccard_components": OP10_SQL, "op11_as_of_features": OP11_SQL, "op12_sort_means": OP12_SQL, "op13_stable_links": OP13_SQL}
