@@ -47,7 +47,9 @@ from quernstone.operators.graph import components
 from quernstone.session import stage
 
 #: Bytes of text worked on at once, signatures in a bucket, sets and shingles in a block of a star.
-CHUNK, BUCKET, BLOCK, BLOCK_SHINGLES = 1 << 20, 4_000_000, 512, 1_000_000
+CHUNK, BUCKET, BLOCK, BLOCK_SHINGLES = 1 << 20, 2_000_000, 512, 1_000_000
+#: Signatures that a shingle gives, about, and signatures of a bucket that are looked at together.
+SIGNED_TIMES, TOGETHER = 8, 1 << 18
 #: Shingles that a signature of a band's smallest set should hold on average.
 LEAST_CONTENT = 7
 #: Rows whose number fits beside 48 bits of hash; entries worked on at once.
@@ -247,7 +249,7 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in batches:
         for b, keys, sets, sizes, counts in zip(batch["bucket"].to_pylist(), *[batch[c] for c in ("keys", "sets", "sizes", "counts")]):
-            if held and (b != bucket or size > STEP):
+            if held and (b != bucket or size > TOGETHER):
                 yield flush()
             if b != bucket:
                 bucket, known, pivots = b, np.zeros(0, np.uint64), np.zeros(0, np.uint64)
@@ -484,7 +486,7 @@ def _linked(docs: DataFrame, words: int, percent: int, id_col: str, text_col: st
     known = stage(rows.select("doc_id", "_h", "text").mapInArrow(_described(words, percent), f"doc_id {id_type}, _h long, n long, ka long, kb long, sketch binary"), "jaccard-sets")
     whole = known.agg(F.max("n").alias("largest"), F.sum("n").alias("total")).first()
     largest, total = int(whole["largest"] or 0), int(whole["total"] or 0)
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * total // BUCKET)
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), SIGNED_TIMES * total // BUCKET)
 
     signed = rows.select("text").mapInArrow(_sign(words, percent, largest, buckets), "bucket int, chunk long, keys binary, sets binary, sizes binary, counts binary")
     stars = signed.repartitionById(buckets, F.col("bucket")).sortWithinPartitions("bucket", "chunk").mapInArrow(trimmed(_stars), "left long, right long")
