@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quernstone.functions import records as r
-from quernstone.operators import features, integrity, metrics, reports, search, splits
+from quernstone.operators import clusters, dedup, features, graph, hits, integrity, metrics, reports, search, splits
 from quernstone.plans import queries as q
 from quernstone.plans.queries import query
-from quernstone.session import table
+from quernstone.session import stage, table
 
 BOTH = q.SPLIT.rstrip() + ",\n" + q.RECORDS.removeprefix("WITH ")
 
@@ -38,6 +38,75 @@ def cross_search(spark, sf_dir):
     return search.similar(test, train).withColumn("identity", F.round("identity", 6))
 
 
+def candidates(spark, sf_dir) -> DataFrame:
+    """Distinct valid sequences under their canonical ids, as exact deduplication keeps them."""
+    kept, _ = dedup.split_conflicts(q.sequence_groups(spark, sf_dir))
+    return kept.select(F.col("canonical_id").alias("id"), F.col("seq").alias("sequence"))
+
+
+def hit_values(hits: DataFrame) -> DataFrame:
+    return hits.select("query", "target", *[F.round(c, 6).alias(c) for c in ("fident", "qcov", "tcov")], "evalue", F.round("bits", 6).alias("bits"))
+
+
+@query()
+def alignment_search(spark, sf_dir):
+    """All pairs of candidates with a qualifying local alignment, each once; tests hold it against full dynamic programming."""
+    return hit_values(search.search(stage(candidates(spark, sf_dir), "candidates")))
+
+
+def candidate_split(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """(id, sequence, label) of the candidates in the test and in the training split."""
+    rows = candidates(spark, sf_dir).join(q.assigned(spark, sf_dir).select(F.col("doc_id").alias("id"), "split", F.col("lang").alias("label")), "id")
+    rows = stage(rows, "candidate-split")
+    return rows.filter("split = 'test'").drop("split"), rows.filter("split = 'train'").drop("split")
+
+
+@query()
+def alignment_audit(spark, sf_dir):
+    """The nearest training sequence of each test sequence by alignment, and whether the labels agree; also those without a hit."""
+    test, train = candidate_split(spark, sf_dir)
+    best = hits.nearest_train(test.select(F.col("id").alias("query"), "label"), search.search(test, train))
+    named = best.join(train.select(F.col("id").alias("target"), F.col("label").alias("train_label")), "target", "left")
+    return named.select("query", "target", *[F.round(c, 6).alias(c) for c in ("fident", "qcov", "tcov", "bits")], "no_match", (F.col("label") == F.col("train_label")).alias("same_label"))
+
+
+@query()
+def alignment_classifier(spark, sf_dir):
+    """The label of each test sequence's nearest training sequence (by bits), else the training split's majority label."""
+    test, train = candidate_split(spark, sf_dir)
+    named = train.select(F.col("id").alias("target"), "label")
+    found = hits.nearest_label(test.select(F.col("id").alias("query")), search.search(test, train), named, "label")
+    return found.select("query", "target", "predicted")
+
+
+@query()
+def native_clusters(spark, sf_dir):
+    """(representative, member) of the candidates by representative clustering."""
+    return clusters.representative_clusters(stage(candidates(spark, sf_dir), "candidates"))
+
+
+@query()
+def native_against_strict(spark, sf_dir):
+    """How far the representative clusters and the components of all qualifying pairs agree, as one row."""
+    rows = stage(candidates(spark, sf_dir), "candidates")
+    strict = graph.components(search.search(rows), "query", "target", rows.select(F.col("id").alias("node")))
+    return clusters.membership_equality(clusters.representative_clusters(rows), strict.select("component", F.col("node").alias("member")))
+
+
+EQUAL = """, a AS (SELECT source AS a, doc_id AS member FROM documents WHERE doc_id % 50 <> 7), b AS (SELECT CASE WHEN source = 'src1' AND doc_id % 2 = 0 THEN 'other' ELSE source || lower(lang) END AS b, doc_id AS member FROM documents WHERE doc_id % 60 <> 11),
+j AS (SELECT a, b, coalesce(a.member, b.member) AS member FROM a FULL JOIN b ON a.member = b.member), c AS (SELECT a, b, count(*) AS n FROM j GROUP BY ALL),
+ra AS (SELECT a, sum(n) AS n, count(b) AS k FROM c WHERE a IS NOT NULL GROUP BY a), rb AS (SELECT b, sum(n) AS n, count(a) AS k FROM c WHERE b IS NOT NULL GROUP BY b)"""
+
+
+@query("WITH " + EQUAL[2:] + " SELECT (SELECT count(*) FROM j) AS members, (SELECT count(*) FROM j WHERE a IS NULL OR b IS NULL) AS single, (SELECT count(*) FROM ra) AS first_groups, (SELECT count(*) FROM ra WHERE k > 1) AS first_torn, (SELECT count(*) FROM rb) AS second_groups, (SELECT count(*) FROM rb WHERE k > 1) AS second_torn, (SELECT count(*) FROM c JOIN ra USING (a) JOIN rb USING (b) WHERE c.n = ra.n AND c.n = rb.n) AS equal")
+def membership_equality(spark, sf_dir):
+    """Two partitions of the documents, with members missing on either side and groups torn apart."""
+    docs = table(spark, sf_dir, "documents")
+    a = docs.filter("doc_id % 50 <> 7").select("source", F.col("doc_id").alias("member"))
+    other = F.when((F.col("source") == "src1") & (F.col("doc_id") % 2 == 0), "other").otherwise(F.concat("source", F.lower("lang")))
+    return clusters.membership_equality(a, docs.filter("doc_id % 60 <> 11").select(other.alias("b"), F.col("doc_id").alias("member")))
+
+
 # ---- references and inventories ----
 
 @query(q.HITS + "SELECT count(*) AS rows, count(p.p_partkey) AS known, count(*) - count(p.p_partkey) AS unknown FROM good g LEFT JOIN (SELECT DISTINCT p_partkey FROM part WHERE p_partkey % 7 <> 0) p ON g.target = p.p_partkey")
