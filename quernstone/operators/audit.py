@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quernstone.operators.digests import streamed_digest
+
 # Fixed patterns of the public-text scan.
 RULES = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+\.[A-Za-z]{2,}",
@@ -30,10 +32,8 @@ def row_digest(columns: list[Column]) -> Column:
 
 
 def semantic_hash(rows: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
-    """One digest for each ``keys`` over its rows in any order."""
-    digests = rows.select(*keys, row_digest([F.col(c) for c in columns]).alias("_d"))
-    joined = F.array_join(F.array_sort(F.collect_list("_d")), "\n")
-    return digests.groupBy(*keys).agg(F.sha2(joined.cast("binary"), 256).alias("digest"), F.count("*").alias("rows"))
+    """One digest for each ``keys`` over its rows in any order; memory doesn't grow with a key."""
+    return streamed_digest(rows.select(*keys, row_digest([F.col(c) for c in columns]).alias("_d")), keys, ["_d"], "_d", separator=b"\n")
 
 
 def compare_inventories(first: DataFrame, second: DataFrame, key: str, digest: str) -> DataFrame:

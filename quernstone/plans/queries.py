@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from quernstone.functions import records as r
 from quernstone.operators import audit, batching, bootstrap, dedup, features, graph, hits, metrics, reports, splits, synthetic
+from quernstone.operators.digests import streamed_digest
 from quernstone.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -278,7 +279,8 @@ def component_sizes_whole(spark, sf_dir):
 @query(WHOLE + ", h AS (SELECT percent, component, sha256(CAST(node AS VARCHAR)) AS h FROM w) SELECT percent, component, concat('component-', sha256(concat(string_agg(h, chr(10) ORDER BY h), chr(10)))) AS name, count(*) AS n FROM h GROUP BY ALL")
 def component_id_whole(spark, sf_dir):
     nodes = all_components(spark, sf_dir).withColumn("h", F.sha2(F.col("node").cast("string").cast("binary"), 256))
-    return nodes.groupBy("percent", "component").agg(r.group_digest("component-", F.collect_list("h")).alias("name"), F.count("*").alias("n"))
+    named = streamed_digest(nodes, ["percent", "component"], ["h"], "h", separator=b"\n", end=b"\n")
+    return named.select("percent", "component", F.concat(F.lit("component-"), "digest").alias("name"), F.col("rows").alias("n"))
 
 
 @query(WHOLE + ", k AS (SELECT f.percent, f.component, count(DISTINCT c.component) AS k FROM w f JOIN w c ON f.node = c.node AND c.percent = CASE f.percent WHEN 70 THEN 50 WHEN 50 THEN 30 END GROUP BY ALL) SELECT percent, count(*) AS fine_components, count(*) FILTER (k > 1) AS torn FROM k GROUP BY percent")
