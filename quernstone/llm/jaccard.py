@@ -48,8 +48,8 @@ from quernstone.session import stage
 
 #: Bytes of text worked on at once, signatures in a bucket, sets and shingles in a block of a star.
 CHUNK, BUCKET, BLOCK, BLOCK_SHINGLES = 1 << 20, 2_000_000, 512, 1_000_000
-#: Signatures that a shingle gives, about, and signatures of a bucket that are looked at together.
-SIGNED_TIMES, TOGETHER = 8, 1 << 18
+#: Signatures of a bucket that are sorted together.
+TOGETHER = 1 << 19
 #: Shingles that a signature of a band's smallest set should hold on average.
 LEAST_CONTENT = 7
 #: Rows whose number fits beside 48 bits of hash; entries worked on at once.
@@ -235,14 +235,20 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def flush():
         nonlocal known, pivots, held, size
-        keys, sets, sizes = (np.concatenate([first, *[x[k] for x in held]]) for k, first in enumerate((known, pivots, np.zeros(len(known), np.int64))))
-        new = np.arange(len(keys)) >= len(known)
+        keys, sets, sizes = (np.concatenate([x[k] for x in held]) for k in range(3))
         held, size = [], 0
-        order = np.lexsort((sets, -sizes, new, keys))
+        order = np.lexsort((sets, -sizes, keys))
         keys, sets = keys[order], sets[order]
         start = np.concatenate([[True], keys[1:] != keys[:-1]])
-        known, pivots = keys[start], sets[start]
-        pivot = pivots[np.cumsum(start) - 1]
+        own, first = keys[start], sets[start]
+        at = np.searchsorted(known, own)
+        old = np.zeros(len(own), bool)
+        inside = at < len(known)
+        old[inside] = known[at[inside]] == own[inside]
+        first[old] = pivots[at[old]]
+        pivot = first[np.cumsum(start) - 1]
+        # the known signatures stay sorted; only the new ones are put between them
+        known, pivots = np.insert(known, at[~old], own[~old]), np.insert(pivots, at[~old], first[~old])
         differ = pivot != sets
         pairs = np.unique(np.stack([pivot[differ], sets[differ]], axis=1), axis=0).view(np.int64)
         return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["left", "right"])
@@ -486,7 +492,7 @@ def _linked(docs: DataFrame, words: int, percent: int, id_col: str, text_col: st
     known = stage(rows.select("doc_id", "_h", "text").mapInArrow(_described(words, percent), f"doc_id {id_type}, _h long, n long, ka long, kb long, sketch binary"), "jaccard-sets")
     whole = known.agg(F.max("n").alias("largest"), F.sum("n").alias("total")).first()
     largest, total = int(whole["largest"] or 0), int(whole["total"] or 0)
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), SIGNED_TIMES * total // BUCKET)
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * total // BUCKET)
 
     signed = rows.select("text").mapInArrow(_sign(words, percent, largest, buckets), "bucket int, chunk long, keys binary, sets binary, sizes binary, counts binary")
     stars = signed.repartitionById(buckets, F.col("bucket")).sortWithinPartitions("bucket", "chunk").mapInArrow(trimmed(_stars), "left long, right long")
