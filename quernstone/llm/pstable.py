@@ -9,8 +9,8 @@ A bucket is cut into blocks by a hash of the node, and each pair of blocks is a
 spread over tasks and no group grows with the table. Sketches (signs of 128 more projections) tell first which nodes of a group can have a partner at
 all; 40 differing bits are over six standard deviations from what vectors at the threshold have. Only those send their vector to the group.
 There all cosines are taken in double precision; a pair that meets in several tables counts in the first of them only,
-which is known from the vectors alone. A group emits counts of links and a forest that spans them, so its output grows with its
-nodes, not with their pairs.
+which is known from the vectors alone. A group emits counts of links and an edge from each node to the first it hangs together
+with, so its output grows with its nodes, not with their pairs.
 
 Nulls and edges: vectors that are null, empty, zero, or hold null or non-finite components, and those with a null label link with
 nothing; equal rows are links of each other; with repeated ids each row counts as a vector of its own; null ids are linked but never
@@ -157,27 +157,20 @@ def _plausible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield from rows.select(["bucket", "tab", "low", "high", "home", "node"]).take(pa.array(keep)).combine_chunks().to_batches()
 
 
-def _forest(linked: np.ndarray, rows: np.ndarray, columns: np.ndarray) -> Iterator[tuple[int, int]]:
-    """Edges that join what ``linked`` (rows by columns) joins, at most one fewer than the nodes."""
-    root = {int(n): int(n) for n in [*rows, *columns]}
-
-    def top(n: int) -> int:
-        while root[n] != n:
-            root[n] = root[root[n]]
-            n = root[n]
-        return n
-
-    for i, row in enumerate(linked):
-        mine = int(rows[i])
-        for other in columns[np.flatnonzero(row)]:
-            a, b = top(mine), top(int(other))
-            if a != b:
-                root[max(a, b)] = min(a, b)
-                yield mine, int(other)
+def _roots(linked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each row and column of ``linked`` the smallest row it hangs together with (the number of rows where there is none)."""
+    rows, columns = np.arange(linked.shape[0]), np.full(linked.shape[1], linked.shape[0])
+    rows[~linked.any(axis=1)] = linked.shape[0]
+    while True:
+        columns = np.minimum(columns, np.where(linked, rows[:, None], linked.shape[0]).min(axis=0, initial=linked.shape[0]))
+        now = np.minimum(rows, np.where(linked, columns[None, :], linked.shape[0]).min(axis=1, initial=linked.shape[0]))
+        if (now == rows).all():
+            return rows, columns
+        rows = now
 
 
 def _linked(cosine: float, *options):
-    """Counts of links of each node of a group, and a forest over them."""
+    """Counts of links of each node of a group, and edges that join what they join."""
 
     def group(rows: pa.Table) -> Iterator[tuple]:
         home, node, copies, grp = (rows[c].to_numpy() for c in ("home", "node", "copies", "grp"))
@@ -191,19 +184,21 @@ def _linked(cosine: float, *options):
             keys = projections(int(dim), *options).keys(unit)
             a, b = _pairs_of_blocks(home[own], low, high)
             links = np.zeros(len(own), np.int64)
-            for at in range(0, len(a), 256):
-                i = a[at : at + 256]
-                good = (unit[i] @ unit[b].T >= cosine) & (grp[own][i][:, None] == grp[own][b][None, :])
-                if low == high:
-                    good &= i[:, None] < b[None, :]  # each pair once
-                for t in range(tab):
-                    if not good.any():
-                        break
-                    good &= keys[i, t][:, None] != keys[b, t][None, :]
-                links[i] += good @ copies[own][b]
-                links[b] += copies[own][i] @ good
-                for x, y in _forest(good, node[own][i], node[own][b]):
-                    yield x, y, 0
+            good = (unit[a] @ unit[b].T >= cosine) & (grp[own][a][:, None] == grp[own][b][None, :])
+            if low == high:
+                good &= a[:, None] < b[None, :]  # each pair once
+            for t in range(tab):
+                if not good.any():
+                    break
+                good &= keys[a, t][:, None] != keys[b, t][None, :]
+            if not good.any():
+                continue
+            np.add.at(links, a, good @ copies[own][b])
+            np.add.at(links, b, copies[own][a] @ good)
+            for side, roots in zip((a, b), _roots(good)):
+                for x in np.flatnonzero(roots < len(a)):
+                    if side[x] != a[roots[x]]:
+                        yield int(node[own][side[x]]), int(node[own][a[roots[x]]]), 0
             for x in np.flatnonzero(links):
                 yield int(node[own][x]), None, int(links[x])
 
