@@ -90,33 +90,63 @@ def _proposals(text: Column) -> dict[str, tuple[Column, Column, object]]:
 
 
 SPAN = "struct<kind:string,start:int,end:int,score:double>"
+#: Entries of a group of a fold, and characters of a piece of a text that is cut by places.
+GROUP, PIECE = 64, 4096
 
 
-def _spans(kind: str, text: Column, ready: Column, can: Column, pieces: Column, test) -> Column:
+def _let(value: Column, use) -> Column:
+    """``use(value)``, with the value computed once."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
+def _level(items: Column, carry: Column, step, kind: str, depth: int) -> Column:
+    empty = F.array().cast("array<" * (depth + 1) + kind + ">" * (depth + 1))
+    start = F.struct(carry.alias("c"), empty.alias("out"))
+    if depth == 0:
+        def one(state: Column, item: Column) -> Column:
+            after, out = step(state["c"], item)
+            return F.struct(after.alias("c"), F.concat(state["out"], out).alias("out"))
+
+        return F.aggregate(items, start, one)
+    size = GROUP**depth
+    groups = F.transform(F.sequence(F.lit(0), F.greatest(F.floor((F.size(items) - 1) / size), F.lit(0)).cast("int")), lambda g: F.slice(items, g * size + 1, F.lit(size)))
+    return F.aggregate(groups, start, lambda state, group: _let(_level(group, state["c"], step, kind, depth - 1), lambda r: F.struct(r["c"].alias("c"), F.concat(state["out"], F.array(r["out"])).alias("out"))))
+
+
+def _folded(items: Column, carry: Column, step, kind: str) -> Column:
+    """All outputs of a fold, and its last carry: ``step(carry, item)`` gives the next carry and an array of outputs.
+
+    Outputs are gathered in groups of groups, since an array that grows by one entry at a time is copied every time.
+    """
+    done = _let(items, lambda all_: _level(all_, carry, step, kind, 2))
+    return _let(done, lambda r: F.struct(r["c"].alias("c"), F.flatten(F.flatten(r["out"])).alias("out")))
+
+
+def _spans(kind: str, can: Column, pieces: Column, test) -> Column:
     trust, words, least = KINDS[kind]
     none = F.array().cast(f"array<{SPAN}>")
 
-    def step(state: Column, piece: Column, i: Column) -> Column:
-        at, end = state["at"], state["at"] + F.length(piece)
-        near = F.substr(text, F.greatest(at - CONTEXT, F.lit(0)) + 1, F.least(at, F.lit(CONTEXT)))
-        score = F.lit(trust) + F.when(F.lower(near).rlike(rf"\b(?:{words})"), BOOST).otherwise(0.0)
-        ok = i % 2 == 1 if test is None else (i % 2 == 1) & test(piece)
+    def step(carry: Column, piece: Column) -> tuple[Column, Column]:
+        at, end = carry["at"], carry["at"] + F.length(piece["p"])
+        score = F.lit(trust) + F.when(F.lower(carry["near"]).rlike(rf"\b(?:{words})"), BOOST).otherwise(0.0)
+        ok = piece["i"] % 2 == 1 if test is None else (piece["i"] % 2 == 1) & test(piece["p"])
         if least > 0:
             ok = ok & (score >= least)
         one = F.array(F.struct(F.lit(kind).alias("kind"), at.alias("start"), end.alias("end"), F.least(score, F.lit(1.0)).alias("score"))).cast(f"array<{SPAN}>")
-        return F.struct(end.alias("at"), F.when(ok, F.concat(state["out"], one)).otherwise(state["out"]).alias("out"))
+        # the last characters so far; marks that stand for dots and joints are no word characters either
+        near = F.right(F.concat(carry["near"], F.right(piece["p"], F.lit(CONTEXT))), F.lit(CONTEXT))
+        return F.struct(end.alias("at"), near.alias("near")), F.when(ok, one).otherwise(none)
 
     numbered = F.transform(pieces, lambda p, i: F.struct(p.alias("p"), i.alias("i")))
-    start = F.struct(F.lit(0).alias("at"), none.alias("out"))
-    found = F.aggregate(numbered, start, lambda s, x: step(s, x["p"], x["i"]), lambda s: s["out"])
-    return F.when(can, F.when(F.size(pieces) > 1, found).otherwise(none)).otherwise(none)
+    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("near"))
+    return F.when(can, _folded(numbered, start, step, SPAN)["out"]).otherwise(none)
 
 
 def find_pii(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """Adds ``pii``: an array of (kind, start, end, score), by kind in the order of ``KINDS``, then start."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     ready = _prepared(text)
-    parts = [_spans(kind, text, ready, *found) for kind, found in _proposals(ready).items()]
+    parts = [_spans(kind, *found) for kind, found in _proposals(ready).items()]
     return docs.withColumn("pii", F.concat(*parts))
 
 
@@ -128,13 +158,22 @@ def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """The rows with each span replaced by its kind in brackets; of overlapping spans the earlier, then longer one counts."""
     text = F.col(text_col)
     ordered = F.array_sort(F.transform("pii", lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("minus"), s["kind"].alias("kind"))))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
+    cut = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))
+
+    def between(pieces: Column, low: Column, high: Column) -> Column:
+        first, last = F.floor(low / PIECE).cast("int"), F.floor(high / PIECE).cast("int")
+        head, tail = F.substr(F.get(pieces, first), low % PIECE + 1), F.coalesce(F.substr(F.get(pieces, last), F.lit(1), high % PIECE), F.lit(""))
+        inside = F.array_join(F.slice(pieces, first + 2, F.greatest(last - first - 1, F.lit(0))), "")
+        return F.when(first == last, F.coalesce(F.substr(F.get(pieces, first), low % PIECE + 1, high - low), F.lit(""))).otherwise(F.concat(head, inside, tail))
+
+    def replaced(pieces: Column) -> Column:
+        def step(at: Column, s: Column) -> tuple[Column, Column]:
+            taken = s["start"] >= at
+            new = F.array(between(pieces, at, s["start"]), F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]")))
+            return F.when(taken, -s["minus"]).otherwise(at), F.when(taken, new).otherwise(F.array().cast("array<string>"))
 
-    def step(state: Column, s: Column) -> Column:
-        new = F.concat(state["out"], F.array(F.substr(text, state["at"] + 1, s["start"] - state["at"]), F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]"))))
-        taken = s["start"] >= state["at"]
-        return F.struct(F.when(taken, -s["minus"]).otherwise(state["at"]).alias("at"), F.when(taken, new).otherwise(state["out"]).alias("out"))
+        return _let(_folded(ordered, F.lit(0), step, "string"), lambda r: F.concat(F.array_join(r["out"], ""), between(pieces, r["c"], F.length(text))))
 
-    done = F.aggregate(ordered, start, step, lambda s: F.concat(F.array_join(s["out"], ""), F.substr(text, s["at"] + 1)))
+    done = _let(cut, replaced)
     found = find_pii(docs, text_col)
     return found.withColumn(text_col, F.when(F.size("pii") > 0, done).otherwise(text)).select(*[F.col(f"`{c}`") for c in docs.columns])

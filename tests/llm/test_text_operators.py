@@ -178,3 +178,24 @@ def test_toxicity_chain(spark, messy):
     empty = train(docs, known.limit(0), ["quality", "toxic"])
     assert score(docs, empty).filter("is_toxic").count() == 0
     assert score(docs.limit(0), chain).count() == 0
+
+
+def test_pii_of_a_text_of_many_spans(spark):
+    """Time and memory follow the length: a text of 40,000 addresses, with characters outside the first plane between."""
+    import time
+
+    from quernstone.llm.pii import find_pii, redact
+
+    parts = [f"u{k}@mail.example.org" + (" \U0001F600é" if k % 90 == 0 else "") for k in range(40_000)]
+    text = " ".join(parts)
+    docs = spark.createDataFrame([(1, text), (2, ""), (3, None)], "doc_id int, text string")
+    began = time.time()
+    spans = {r["doc_id"]: r["pii"] for r in find_pii(docs).collect()}
+    want, at = [], 0
+    for k, part in enumerate(parts):
+        want.append((at, at + len(f"u{k}@mail.example.org")))
+        at += len(part) + 1
+    assert [(s["start"], s["end"]) for s in spans[1]] == want and spans[2] == spans[3] == []
+    kept = {r["doc_id"]: r["text"] for r in redact(docs).collect()}
+    assert kept == {1: " ".join("[EMAIL]" + (" \U0001F600é" if k % 90 == 0 else "") for k in range(40_000)), 2: "", 3: None}
+    assert time.time() - began < 90
