@@ -107,6 +107,60 @@ def membership_equality(spark, sf_dir):
     return clusters.membership_equality(a, docs.filter("doc_id % 60 <> 11").select(other.alias("b"), F.col("doc_id").alias("member")))
 
 
+# ---- paged scans ----
+
+@query("SELECT CAST(p_partkey % 8 AS INTEGER) AS page, row_number() OVER (PARTITION BY p_partkey % 8 ORDER BY p_partkey) AS row, CAST(p_partkey AS VARCHAR) AS p_partkey, p_name, p_brand FROM part")
+def page_scan(spark, sf_dir):
+    """Parts as gzipped pages under a manifest, scanned with the page and row of each record."""
+    from quernstone.session import staged_path
+    from quernstone.sources.lineage import page_manifest, read_pages
+
+    columns, path = ["p_partkey", "p_name", "p_brand"], staged_path(spark, "pages")
+    parts = table(spark, sf_dir, "part").select((F.col("p_partkey") % 8).cast("int").alias("page"), *columns)
+    parts.repartition("page").sortWithinPartitions("page", "p_partkey").write.partitionBy("page").option("sep", "\t").option("header", "true").option("compression", "gzip").option("quote", "\u0000").option("extension", "tsv").csv(path)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.tsv*").load(path).select(F.array_join(F.slice(F.split("path", "/"), -2, 2), "/").alias("name"))
+    pages = files.select(F.regexp_extract("name", "page=([0-9]+)/", 1).cast("int").alias("page"), "name")
+    return read_pages(spark, path, page_manifest(spark, path, pages, depth=1), columns, depth=1)
+
+
+# ---- caches and vectors ----
+
+@query(q.RECORDS + """, d AS (SELECT DISTINCT seq FROM records WHERE seq <> ''), u AS (SELECT count(*) FILTER (seq IN (SELECT seq FROM records WHERE doc_id % 2 = 0)) AS hits, count(*) AS n FROM d)
+SELECT doc_id, CASE WHEN seq <> '' THEN 20 END AS width, CASE WHEN seq <> '' THEN len(list_distinct(list_filter(string_split(seq, ''), lambda x: contains('ACDEFGHIKLMNPQRSTVWY', x)))) END AS cells, hits, n - hits AS misses FROM records CROSS JOIN u""")
+def feature_cache(spark, sf_dir):
+    """Compositions of all records, half of which a run before has cached: how many distinct sequences are hits and misses."""
+    from quernstone.session import staged_path
+    from quernstone.sources.cache import FeatureCache
+
+    rows = q.records(spark, sf_dir).select("doc_id", F.when(F.col("seq") != "", F.col("seq")).alias("seq"))
+    cache = FeatureCache(spark, staged_path(spark, "features"), "aac", {"alphabet": r.ALPHABET, "version": 1})
+
+    def compute(misses: DataFrame) -> DataFrame:
+        return misses.select("content", features.composition(F.col("seq")).alias("vector"))
+
+    cache.features(rows.filter("doc_id % 2 = 0"), "seq", compute)
+    found, use = cache.features(rows, "seq", compute)
+    return found.select("doc_id", "width", F.when(F.col("width").isNotNull(), F.size("indices")).cast("long").alias("cells"), F.lit(use["hits"]).cast("long").alias("hits"), F.lit(use["misses"]).cast("long").alias("misses"))
+
+
+def token_states():
+    """An encoder for checks: each token's id, and its place modulo 7 where it isn't padding."""
+    import numpy as np
+
+    return lambda ids, mask: np.stack([ids, np.arange(ids.shape[1]) % 7 * mask], axis=2).astype(float)
+
+
+@query(q.RECORDS + """, v AS (SELECT doc_id, seq FROM judged WHERE reason IS NULL), p AS (SELECT doc_id, unnest(string_split(seq, '')) AS x, generate_subscripts(string_split(seq, ''), 1) AS i FROM v)
+SELECT doc_id, round(avg(instr('ACDEFGHIKLMNPQRSTVWY', x) + 3), 9) AS first, round(avg(i % 7), 9) AS second FROM p GROUP BY doc_id""")
+def embedding_extraction(spark, sf_dir):
+    """A mean vector over the residues of each valid sequence, by an encoder that can be checked."""
+    from quernstone.operators.embedding import extract
+
+    rows = q.judged(spark, sf_dir).filter(F.col("reason").isNull()).select("doc_id", "seq")
+    made = extract(rows, "doc_id", "seq", token_states)
+    return made.select("doc_id", F.round(F.get("vector", 0), 9).alias("first"), F.round(F.get("vector", 1), 9).alias("second"))
+
+
 # ---- references and inventories ----
 
 @query(q.HITS + "SELECT count(*) AS rows, count(p.p_partkey) AS known, count(*) - count(p.p_partkey) AS unknown FROM good g LEFT JOIN (SELECT DISTINCT p_partkey FROM part WHERE p_partkey % 7 <> 0) p ON g.target = p.p_partkey")

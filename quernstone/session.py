@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Rows of whole texts that go to a Python worker at once.
 BATCH_ROWS = 2000
+#: Buckets of a staged table; beyond them buckets grow instead, and tasks stream through more chunks each.
+MOST_BUCKETS = 20_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -62,6 +64,7 @@ def stage_by(df: DataFrame, label: str, parts: int, keys: list[str]) -> DataFram
     """As ``stage``, but dealt to ``parts`` buckets by ``keys``: later joins and groups on just these keys leave the rows where they are."""
     spark = df.sparkSession
     share_code(spark)
+    parts = min(parts, MOST_BUCKETS)
     path = staged_path(spark, label)
     name = path.rsplit("/", 1)[1].replace("-", "_")
     dealt = df.repartition(parts, *keys).write.bucketBy(parts, *keys).sortBy(*keys)

@@ -113,3 +113,12 @@ def test_cache_computes_only_misses(spark, tmp_path):
     spoiled.write.mode("overwrite").partitionBy("shard").parquet(first.path)
     with pytest.raises(Exception, match="does not agree with its digest"):
         first.features(rows, "s", compute)[0].collect()
+
+
+def test_more_buckets_than_spark_allows(spark, monkeypatch):
+    from quernstone import session
+
+    rows = spark.range(100).withColumn("t", F.col("id") % 7)
+    monkeypatch.setattr(session, "MOST_BUCKETS", 3)
+    made = session.stage_by(rows, "wide", 1_000_000, ["t"])
+    assert sorted(r["id"] for r in made.collect()) == list(range(100))
