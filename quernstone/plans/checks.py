@@ -107,6 +107,19 @@ def membership_equality(spark, sf_dir):
     return clusters.membership_equality(a, docs.filter("doc_id % 60 <> 11").select(other.alias("b"), F.col("doc_id").alias("member")))
 
 
+# ---- published text ----
+
+@query("WITH v AS (SELECT s_suppkey, CASE WHEN s_suppkey % 5 <> 0 THEN s_suppkey % 97 / 97.0::DOUBLE END AS rate, s_suppkey % 3 = 0 AS flag, CASE WHEN s_suppkey % 7 = 0 THEN concat(s_name, ',', '\"x\"') WHEN s_suppkey % 11 <> 0 THEN s_name END AS name FROM supplier) SELECT s_suppkey, concat_ws(',', s_suppkey, CASE WHEN rate IS NULL THEN 'NA' ELSE regexp_replace(printf('%.15f', rate), '\\.?0+$', '') END, flag, CASE WHEN name IS NULL THEN 'NA' WHEN contains(name, ',') THEN concat('\"', replace(name, '\"', '\"\"'), '\"') ELSE name END) AS line FROM v")
+def canonical_csv(spark, sf_dir):
+    """Lines of a canonical CSV with nulls, fractions, flags and text to be quoted."""
+    from quernstone.functions.canonical import csv_line
+
+    k = F.col("s_suppkey")
+    name = F.when(k % 7 == 0, F.concat("s_name", F.lit(',"x"'))).when(k % 11 != 0, F.col("s_name"))
+    rows = table(spark, sf_dir, "supplier").select(k, F.when(k % 5 != 0, (k % 97) / 97.0).alias("rate"), (k % 3 == 0).alias("flag"), name.alias("name"))
+    return rows.select("s_suppkey", csv_line(rows.schema, rows.columns).alias("line"))
+
+
 # ---- paged scans ----
 
 @query("SELECT CAST(p_partkey % 8 AS INTEGER) AS page, row_number() OVER (PARTITION BY p_partkey % 8 ORDER BY p_partkey) AS row, CAST(p_partkey AS VARCHAR) AS p_partkey, p_name, p_brand FROM part")
