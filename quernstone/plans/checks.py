@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quernstone.functions import records as r
-from quernstone.operators import clusters, dedup, features, graph, hits, integrity, metrics, reports, search, splits
+from quernstone.operators import clusters, dedup, features, graph, hits, integrity, leaks, metrics, reports, search, splits
 from quernstone.plans import queries as q
 from quernstone.plans.queries import query
 from quernstone.session import stage, table
@@ -250,23 +250,77 @@ def delayed_labels(spark, sf_dir):
 
 # ---- invariants and gates ----
 
-@query(q.STAR + f"SELECT split, method, count(*) AS rows, count(*) - count(DISTINCT id) AS repeated, count(*) FILTER (NOT list_contains({q.NAMES}, predicted)) AS unknown_label, count(*) FILTER (truth IS NULL OR predicted IS NULL) AS null_label FROM long GROUP BY ALL")
+#: Predictions with faults: repeated rows, unknown labels, missing labels, wrong flags and scores that aren't numbers.
+FAULTY = q.STAR + """, marked AS (SELECT split, method, id, truth, CASE WHEN id % 89 = 0 THEN 'OTHER' WHEN id % 97 = 0 THEN NULL ELSE predicted END AS predicted FROM long),
+told AS (SELECT *, CASE WHEN id % 83 = 0 THEN NOT coalesce(truth = predicted, false) ELSE coalesce(truth = predicted, false) END AS correct, CASE WHEN id % 79 = 0 THEN 'NaN'::DOUBLE ELSE id / 7.0 END AS score FROM marked),
+faulty AS (SELECT * FROM told UNION ALL SELECT * FROM told WHERE id % 101 = 0)
+"""
+
+
+def faulty_predictions(spark, sf_dir) -> DataFrame:
+    k = F.col("id")
+    predicted = F.when(k % 89 == 0, "OTHER").when(k % 97 == 0, F.lit(None)).otherwise(F.col("predicted"))
+    told = q.long_star(spark, sf_dir).select(*q.CELL, "id", "truth", predicted.alias("predicted"))
+    right = F.coalesce(F.col("truth") == F.col("predicted"), F.lit(False))
+    told = told.withColumn("correct", F.when(k % 83 == 0, ~right).otherwise(right)).withColumn("score", F.when(k % 79 == 0, float("nan")).otherwise(k / 7.0))
+    return told.unionByName(told.filter(k % 101 == 0))
+
+
+@query(FAULTY + f"SELECT split, method, count(*) AS rows, count(*) - count(DISTINCT id) AS repeated, count(*) FILTER (NOT list_contains({q.NAMES}, predicted)) AS unknown_label, count(*) FILTER (truth IS NULL OR predicted IS NULL) AS null_label, count(*) FILTER (correct <> coalesce(truth = predicted, false)) AS wrong_flag, count(*) FILTER (NOT isfinite(score)) AS not_finite FROM faulty GROUP BY ALL")
 def prediction_invariants(spark, sf_dir):
-    rules = {"unknown_label": ~F.col("predicted").isin(*q.SEGMENTS), "null_label": F.col("truth").isNull() | F.col("predicted").isNull()}
-    return integrity.violations(q.long_star(spark, sf_dir), q.CELL, rules, "id")
+    """How many predictions break each rule; the input has faults of each kind."""
+    right = F.coalesce(F.col("truth") == F.col("predicted"), F.lit(False))
+    rules = {"unknown_label": ~F.col("predicted").isin(*q.SEGMENTS), "null_label": F.col("truth").isNull() | F.col("predicted").isNull(), "wrong_flag": F.col("correct") != right, "not_finite": F.isnan("score") | (F.abs("score") == float("inf"))}
+    return integrity.violations(faulty_predictions(spark, sf_dir), q.CELL, rules, "id")
 
 
-@query(q.NEAREST + "SELECT status, count(*) AS rows, count(*) - count(DISTINCT query) AS repeated, count(*) FILTER (no_match AND (fident IS NOT NULL OR bits IS NOT NULL)) AS no_hit_with_values, count(*) FILTER (NOT no_match AND (fident IS NULL OR bits IS NULL)) AS hit_without_values FROM near GROUP BY status")
+@query(q.NEAREST + """, faulty AS (SELECT status, query, no_match, CASE WHEN no_match AND query % 5 = 0 THEN 0.5 WHEN NOT no_match AND query % 7 = 0 THEN NULL WHEN query % 11 = 0 THEN 1.5 ELSE fident END AS fident, CASE WHEN NOT no_match AND query % 13 = 0 THEN NULL ELSE bits END AS bits FROM near UNION ALL SELECT status, query, no_match, fident, bits FROM near WHERE query % 17 = 0)
+SELECT status, count(*) AS rows, count(*) - count(DISTINCT query) AS repeated, count(*) FILTER (no_match AND (fident IS NOT NULL OR bits IS NOT NULL)) AS no_hit_with_values, count(*) FILTER (NOT no_match AND (fident IS NULL OR bits IS NULL)) AS hit_without_values, count(*) FILTER (fident NOT BETWEEN 0 AND 1) AS out_of_range FROM faulty GROUP BY status""")
 def nearest_invariants(spark, sf_dir):
-    some, all_ = F.col("fident").isNotNull() | F.col("bits").isNotNull(), F.col("fident").isNotNull() & F.col("bits").isNotNull()
-    return integrity.violations(q.nearest(spark, sf_dir), ["status"], {"no_hit_with_values": F.col("no_match") & some, "hit_without_values": ~F.col("no_match") & ~all_}, "query")
+    """As for predictions: rows without a hit that have values, hits without, values out of range, repeated queries."""
+    k, none = F.col("query"), F.col("no_match")
+    near = q.nearest(spark, sf_dir).select("status", "query", "no_match", "fident", "bits")
+    fident = F.when(none & (k % 5 == 0), 0.5).when(~none & (k % 7 == 0), F.lit(None)).when(k % 11 == 0, 1.5).otherwise(F.col("fident"))
+    faulty = near.withColumn("fident", fident).withColumn("bits", F.when(none | (k % 13 != 0), F.col("bits"))).unionByName(near.filter(k % 17 == 0))
+    some, both = F.col("fident").isNotNull() | F.col("bits").isNotNull(), F.col("fident").isNotNull() & F.col("bits").isNotNull()
+    return integrity.violations(faulty, ["status"], {"no_hit_with_values": none & some, "hit_without_values": ~none & ~both, "out_of_range": ~F.col("fident").between(0, 1)}, "query")
 
 
-@query(q.STAR + q.STRATA + "SELECT count(*) AS rows, count(*) FILTER (status IN ('privacy_suppressed', 'insufficient_sequences')) AS hidden, CAST(0 AS BIGINT) AS exposed, CAST(0 AS BIGINT) AS forbidden_columns FROM judged")
+@query(q.STAR + q.STRATA + "SELECT count(*) AS rows, count(*) FILTER (status IN ('privacy_suppressed', 'insufficient_sequences')) AS hidden, count(*) FILTER (status IN ('privacy_suppressed', 'insufficient_sequences') AND n % 3 = 0) AS exposed, CAST(2 AS BIGINT) AS forbidden_columns FROM judged")
 def privacy_gate(spark, sf_dir):
-    """The suppressed table shows no value that it mustn't, and only allowed columns."""
-    allowed = ["split", "method", "truth", "stratum", "status", "rows", "components", "accuracy"]
-    return integrity.exposed(q.suppressed_strata(spark, sf_dir), "status", ["accuracy"], allowed)
+    """A table in which some suppressed strata show a value, and with two columns that it may not have."""
+    rows = q.long_star(spark, sf_dir).withColumn("stratum", F.col("component") % 13)
+    per = rows.groupBy(*q.CELL, "truth", "stratum").agg(F.count("*").alias("n"), F.count_distinct("component").alias("c"), F.count_if(F.col("truth") == F.col("predicted")).alias("hits"))
+    status = r.eligibility(F.col("n"), F.col("c"))
+    rate = F.col("hits") / F.col("n")
+    told = per.withColumn("status", status).withColumn("accuracy", F.when(F.col("n") % 3 == 0, rate).otherwise(r.reportable(F.col("status"), rate)))
+    public = told.select(*q.CELL, "truth", "stratum", "status", "accuracy", F.col("n").alias("accession"), F.col("c").alias("scratch"))
+    return integrity.exposed(public, "status", ["accuracy"], ["split", "method", "truth", "stratum", "status", "accuracy"])
+
+
+#: Public rows with leaks of each kind, by the key's remainder.
+LEAKY = """WITH leaky AS (SELECT c_custkey AS k, c_name AS name, CASE WHEN c_custkey % 11 = 0 THEN 'see P12345.' WHEN c_custkey % 13 = 0 THEN concat('x ', repeat('ACDEFGHIKL', 6)) WHEN c_custkey % 17 = 0 THEN 'at /home/me' WHEN c_custkey % 19 = 0 THEN 'Authorization : no' WHEN c_custkey % 23 = 0 THEN sha256(c_name)
+ WHEN c_custkey % 29 = 0 THEN concat('from Supplier#', lpad(CAST(c_custkey % 40 AS VARCHAR), 9, '0')) WHEN c_custkey % 31 = 0 THEN concat('KK', repeat(substr('ACDEFGHIKLMNPQRSTVWY', CAST(c_custkey % 4 + 1 AS INTEGER), 5), 5), 'KK') ELSE c_mktsegment END AS note FROM customer),
+names AS (SELECT s_name AS value FROM supplier WHERE s_suppkey % 2 = 0), runs AS (SELECT DISTINCT repeat(substr('ACDEFGHIKLMNPQRSTVWY', CAST(s_suppkey % 2 + 1 AS INTEGER), 5), 5) AS value FROM supplier)
+"""
+
+
+def leaky(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
+    k, residues = F.col("c_custkey"), F.lit(r.ALPHABET)
+    note = (
+        F.when(k % 11 == 0, "see P12345.").when(k % 13 == 0, "x " + "ACDEFGHIKL" * 6).when(k % 17 == 0, "at /home/me").when(k % 19 == 0, "Authorization : no").when(k % 23 == 0, F.sha2(F.col("c_name").cast("binary"), 256))
+        .when(k % 29 == 0, F.concat(F.lit("from Supplier#"), F.lpad((k % 40).cast("string"), 9, "0"))).when(k % 31 == 0, F.concat(F.lit("KK"), F.repeat(F.substr(residues, (k % 4 + 1).cast("int"), F.lit(5)), 5), F.lit("KK"))).otherwise(F.col("c_mktsegment"))
+    )
+    suppliers = table(spark, sf_dir, "supplier")
+    runs = suppliers.select(F.repeat(F.substr(residues, (F.col("s_suppkey") % 2 + 1).cast("int"), F.lit(5)), 5).alias("value")).distinct()
+    return table(spark, sf_dir, "customer").select(k.alias("k"), F.col("c_name").alias("name"), note.alias("note")), suppliers.filter("s_suppkey % 2 = 0").select(F.col("s_name").alias("value")), runs
+
+
+@query(LEAKY + "SELECT * FROM (" + " UNION ALL ".join(f"SELECT '{c}' AS \"column\", '{n}' AS rule, count(*) FILTER (regexp_matches({c}, '{p}')) AS rows FROM leaky" for c in ("name", "note") for n, p in leaks.RELEASE_RULES.items()) + " UNION ALL SELECT 'note', 'known_name', count(DISTINCT k) FROM (SELECT k, unnest(regexp_extract_all(note, '[A-Za-z0-9_#.:|-]+')) AS value FROM leaky) SEMI JOIN names USING (value) UNION ALL SELECT 'note', 'known_sequence', count(DISTINCT k) FROM leaky JOIN runs ON contains(note, value))")
+def release_scan(spark, sf_dir):
+    """Patterns and known names and sequences over all text columns of a table with leaks of each kind."""
+    rows, names, runs = leaky(spark, sf_dir)
+    return leaks.pattern_leaks(rows).unionByName(leaks.known_leaks(rows, names, runs))
 
 
 @query(q.CLASSES + "SELECT split, method, round(sum(hits) / sum(support), 9) AS first, round(sum(hits) / sum(support), 9) AS second, true AS within FROM rates GROUP BY ALL")
