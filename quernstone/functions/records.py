@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -19,15 +19,23 @@ def normalized(value: Column) -> Column:
     return F.upper(F.regexp_replace(value, r"^\s+|\s+$", ""))
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once for a row, however often and in whichever branches it is used."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def sequence_reason(value: Column, least: int = 50, most: int = 1000, alphabet: str = ALPHABET) -> Column:
     """Null for a valid sequence, else the first reason against it."""
-    seq = normalized(value)
-    return (
-        F.when(seq.isNull() | (seq == ""), "missing")
-        .when(seq.rlike(f"[^{alphabet}]"), "invalid_characters")
-        .when(F.length(seq) < least, "too_short")
-        .when(F.length(seq) > most, "too_long")
-    )
+
+    def reason(seq: Column) -> Column:
+        return (
+            F.when(seq.isNull() | (seq == ""), "missing")
+            .when(seq.rlike(f"[^{alphabet}]"), "invalid_characters")
+            .when(F.length(seq) < least, "too_short")
+            .when(F.length(seq) > most, "too_long")
+        )
+
+    return once(normalized(value), reason)
 
 
 def sequence_hash(value: Column) -> Column:

@@ -9,13 +9,15 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quernstone.functions.records import ALPHABET
+from quernstone.functions.records import ALPHABET, once
 
 
 def composition(sequence: Column, alphabet: str = ALPHABET) -> Column:
     """Relative frequency of each residue, in the alphabet's order; null for an empty sequence."""
-    shares = [(F.length(sequence) - F.length(F.translate(sequence, a, ""))) / F.length(sequence) for a in alphabet]
-    return F.when(F.length(sequence) > 0, F.array(*shares))
+    def shares(seq: Column) -> Column:
+        return F.when(F.length(seq) > 0, F.array(*[(F.length(seq) - F.length(F.translate(seq, a, ""))) / F.length(seq) for a in alphabet]))
+
+    return once(sequence, shares)
 
 
 def kmer_counts(rows: DataFrame, keys: list[str], sequence: str, k: int = 3) -> DataFrame:

@@ -40,7 +40,7 @@ judged AS (SELECT *, CASE WHEN seq = '' THEN 'missing' WHEN regexp_matches(seq,
 
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:
     letters = F.upper(F.regexp_replace(F.coalesce("text", F.lit("")), "[^A-Za-z]", ""))
-    seq = F.when(F.col("source").isin("src1", "src2"), letters).otherwise(F.regexp_replace(letters, f"[^{r.ALPHABET}]", ""))
+    seq = r.once(letters, lambda x: F.when(F.col("source").isin("src1", "src2"), x).otherwise(F.regexp_replace(x, f"[^{r.ALPHABET}]", "")))
     return table(spark, sf_dir, "documents").select("doc_id", "lang", "source", seq.alias("seq"))
 
 
