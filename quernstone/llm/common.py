@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quernstone.session import share_code
+
 #: Words of the contracts: maximal runs without ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 M64 = (1 << 64) - 1
@@ -18,6 +20,7 @@ M64 = (1 << 64) - 1
 
 def with_row_key(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Adds ``_h``: with the id it names a row up to exact repeats, and null ids compare equal."""
+    share_code(df.sparkSession)  # workers that start from now on find the package
     return df.withColumn("_h", F.xxhash64(F.col(id_col).isNull(), F.col(id_col), F.col(text_col)))
 
 
