@@ -8,7 +8,6 @@ document can come up to twice or, in a source above its target, not at all; the
 
 from __future__ import annotations
 
-import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,13 +43,15 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, n_tokens, ids) of each row."""
+    import public_tokenizers
+
     ids = encode(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
     return ids.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids")
 
 
 STAGES = [("toxicity", toxicity), ("ngram_jaccard_join", near_duplicates), ("pii", personal_data), ("mixing", mixing), ("bpe", tokens)]
 
-#: SQL can't express these stages; tests hold ``run`` against brute force.
+#: SQL can't express these stages; tests go through them stage by stage.
 ORACLE_SQL = None
 
 
