@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quernstone.functions.records import eligibility, public_count, reportable
 from quernstone.operators import bootstrap, metrics
+from quernstone.session import stage
 
 METRICS = ("accuracy", "balanced_accuracy", "macro_f1")
 #: From best to worst.
@@ -89,3 +90,24 @@ def seed_shifts(summaries: DataFrame, keys: list[str], primary: int) -> DataFram
     other = summaries.filter(F.col("seed") != primary).join(base, keys)
     shifts = [F.round(F.max(F.abs(x)), 15).alias(n) for n, x in (("lower_shift", F.col("lower") - F.col("_l")), ("upper_shift", F.col("upper") - F.col("_u")), ("width_shift", F.col("upper") - F.col("lower") - F.col("_u") + F.col("_l")))]
     return other.groupBy(*keys).agg(*shifts)
+
+
+def every_dimension(rows: DataFrame, keys: list[str], dimensions: dict[str, tuple[Column, Sequence[str]]], group: str, labels: Sequence[str]) -> DataFrame:
+    """``stratified`` over several dimensions from one cube: (keys, dimension, bin, status, rows, groups, metrics).
+
+    Each row counts once in every dimension, in the bin that its column names. The rows are aggregated once, to counts by bin, group
+    and cell of the confusion table; all tables come from these counts.
+    """
+    entries = F.array(*[F.struct(F.lit(name).alias("dimension"), column.alias("bin")) for name, (column, _) in dimensions.items()])
+    on = [*keys, "dimension", "bin"]
+    cube = stage(rows.select(*keys, F.col(group).alias("_g"), "truth", "predicted", F.inline(entries)).groupBy(*on, "_g", "truth", "predicted").agg(F.count("*").alias("n")), "cube")
+    bins = F.array(*[F.struct(F.lit(name).alias("dimension"), F.lit(b).alias("bin")) for name, (_, all_) in dimensions.items() for b in all_])
+    grid = cube.select(*keys).distinct().select(*keys, F.inline(bins))
+    per = cube.groupBy(*on).agg(F.sum("n").alias("_n"), F.count_distinct("_g").alias("_c")).withColumn("status", eligibility(F.col("_n"), F.col("_c")))
+    points = metrics.macro(metrics.confusion(cube, on, "n"), on, labels).drop("rows")
+    joined = grid.join(per, on, "left").join(points, on, "left")
+    status = F.coalesce("status", F.lit("privacy_suppressed"))
+    private = status == "privacy_suppressed"
+    shown = [reportable(status, F.col(m)).alias(m) for m in METRICS]
+    counts = [public_count(F.coalesce("_n", F.lit(0)), 5, private).alias("rows"), public_count(F.coalesce("_c", F.lit(0)), 3, private).alias("groups")]
+    return joined.select(*on, status.alias("status"), *counts, *shown)

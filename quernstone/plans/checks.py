@@ -107,6 +107,33 @@ def membership_equality(spark, sf_dir):
     return clusters.membership_equality(a, docs.filter("doc_id % 60 <> 11").select(other.alias("b"), F.col("doc_id").alias("member")))
 
 
+# ---- all strata of one star ----
+
+IDENTITY_BINS = ("no_hit", *[f"{low:.2f}-{high:.2f}" for low, high in zip(r.IDENTITY_EDGES, r.IDENTITY_EDGES[1:])])
+DIMENSIONS = {"all": ("all",), "identity": IDENTITY_BINS, "length": tuple(f"{low}-{high}" for low, high in r.LENGTH_BINS), "component_size": tuple(name for *_, name in r.SIZE_BINS)}
+STRATA = q.NEAREST.rstrip() + ",\n" + q.STAR.removeprefix("WITH ").rstrip() + f""", sized AS (SELECT o_orderkey AS id, count(*) OVER (PARTITION BY o_custkey) AS size, 50 + o_orderkey * 13 % 951 AS len FROM orders),
+x AS (SELECT split, method, component, truth, predicted, unnest([{{'dimension': 'all', 'bin': 'all'}}, {{'dimension': 'identity', 'bin': CASE WHEN no_match THEN 'no_hit' WHEN fident < 0.2 THEN '0.00-0.20' WHEN fident < 0.3 THEN '0.20-0.30' WHEN fident < 0.4 THEN '0.30-0.40' WHEN fident < 0.5 THEN '0.40-0.50' WHEN fident < 0.7 THEN '0.50-0.70' ELSE '0.70-1.00' END}},
+ {{'dimension': 'length', 'bin': CASE WHEN len < 200 THEN '50-199' WHEN len < 400 THEN '200-399' WHEN len < 600 THEN '400-599' WHEN len < 800 THEN '600-799' ELSE '800-1000' END}}, {{'dimension': 'component_size', 'bin': CASE WHEN size = 1 THEN '1' WHEN size <= 4 THEN '2-4' WHEN size <= 9 THEN '5-9' WHEN size <= 19 THEN '10-19' ELSE '20+' END}}], recursive := true) FROM long JOIN near ON id = query JOIN sized USING (id)),
+bins AS ({" UNION ALL ".join(f"SELECT '{d}' AS dimension, '{b}' AS bin" for d, bs in DIMENSIONS.items() for b in bs)}), cells AS (SELECT * FROM (SELECT DISTINCT split, method FROM x) CROSS JOIN bins),
+n AS (SELECT split, method, dimension, bin, count(*) AS n, count(DISTINCT component) AS c, count(*) FILTER (truth = predicted) / count(*) AS accuracy FROM x GROUP BY ALL),
+ft AS (SELECT split, method, dimension, bin, truth AS label, count(*) AS support, count(*) FILTER (truth = predicted) AS hits FROM x GROUP BY ALL), fp AS (SELECT split, method, dimension, bin, predicted AS label, count(*) AS guessed FROM x GROUP BY ALL),
+f AS (SELECT split, method, dimension, bin, sum(2 * coalesce(hits, 0) / (coalesce(support, 0) + coalesce(guessed, 0))) / 5 AS macro_f1 FROM ft FULL JOIN fp USING (split, method, dimension, bin, label) GROUP BY ALL),
+told AS (SELECT *, CASE WHEN n IS NULL OR n < 5 OR c < 3 THEN 'privacy_suppressed' WHEN n < 20 THEN 'insufficient_sequences' WHEN c < 10 THEN 'insufficient_components_for_ci' ELSE 'reportable' END AS status FROM cells LEFT JOIN n USING (split, method, dimension, bin) LEFT JOIN f USING (split, method, dimension, bin))
+"""
+
+
+@query(STRATA + "SELECT split, method, dimension, bin, status, CASE WHEN coalesce(n, 0) < 5 THEN '<5' WHEN status <> 'privacy_suppressed' THEN CAST(n AS VARCHAR) END AS rows, CASE WHEN coalesce(c, 0) < 3 THEN '<3' WHEN status <> 'privacy_suppressed' THEN CAST(c AS VARCHAR) END AS components, CASE WHEN status IN ('reportable', 'insufficient_components_for_ci') THEN round(accuracy, 9) END AS accuracy, CASE WHEN status IN ('reportable', 'insufficient_components_for_ci') THEN round(macro_f1, 9) END AS macro_f1 FROM told")
+def strata_tables(spark, sf_dir):
+    """Predictions, holders and nearest hits as one star; its metrics by identity, length and component size, every bin of every cell."""
+    near = q.nearest(spark, sf_dir).select(F.col("query").alias("id"), "fident", "no_match")
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), "o_custkey", (F.lit(50) + F.col("o_orderkey") * 13 % 951).alias("length"))
+    sized = integrity.with_group_size(orders, "o_custkey").drop("o_custkey")
+    rows = q.long_star(spark, sf_dir).join(near, "id").join(sized, "id")
+    columns = {"all": F.lit("all"), "identity": r.identity_bin(F.col("fident"), F.col("no_match")), "length": r.length_bin(F.col("length")), "component_size": r.size_bin(F.col("component_size"))}
+    done = reports.every_dimension(rows, q.CELL, {d: (columns[d], bins) for d, bins in DIMENSIONS.items()}, "component", q.SEGMENTS)
+    return done.select(*q.CELL, "dimension", "bin", "status", "rows", F.col("groups").alias("components"), F.round("accuracy", 9).alias("accuracy"), F.round("macro_f1", 9).alias("macro_f1"))
+
+
 # ---- published text ----
 
 @query("WITH v AS (SELECT s_suppkey, CASE WHEN s_suppkey % 5 <> 0 THEN s_suppkey % 97 / 97.0::DOUBLE END AS rate, s_suppkey % 3 = 0 AS flag, CASE WHEN s_suppkey % 7 = 0 THEN concat(s_name, ',', '\"x\"') WHEN s_suppkey % 11 <> 0 THEN s_name END AS name FROM supplier) SELECT s_suppkey, concat_ws(',', s_suppkey, CASE WHEN rate IS NULL THEN 'NA' ELSE regexp_replace(printf('%.15f', rate), '\\.?0+$', '') END, flag, CASE WHEN name IS NULL THEN 'NA' WHEN contains(name, ',') THEN concat('\"', replace(name, '\"', '\"\"'), '\"') ELSE name END) AS line FROM v")
