@@ -26,6 +26,11 @@ def with_group_size(rows: DataFrame, group: str, name: str = "component_size") -
     return rows.join(rows.groupBy(group).agg(F.count("*").alias(name)), group)
 
 
+def with_group_sizes(rows: DataFrame, groups: list[str], name: str) -> DataFrame:
+    """As ``with_group_size``, for groups of several columns."""
+    return rows.join(rows.groupBy(*groups).agg(F.count("*").alias(name)), groups)
+
+
 def violations(rows: DataFrame, keys: list[str], rules: dict[str, Column], identity: str) -> DataFrame:
     """For each ``keys``: rows, rows whose identity came before, and how many rows break each rule."""
     per = rows.groupBy(*keys, identity).agg(F.count("*").alias("_n"), *[F.count_if(rule).alias(name) for name, rule in rules.items()])

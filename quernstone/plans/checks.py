@@ -434,6 +434,26 @@ def discovery_counts(spark, sf_dir):
     return per.join(edges, "percent").select("percent", "nodes", "edges", "components", "singletons", "largest")
 
 
+CLASSED = ", k AS (SELECT o_orderkey * 2 + 1 AS node, o_orderstatus AS class FROM orders UNION ALL SELECT p_partkey * 2, p_brand FROM part), s AS (SELECT percent, component, count(*) AS n FROM w GROUP BY ALL)"
+
+
+@query(q.WHOLE + CLASSED + " SELECT percent, class, count(*) AS nodes, count(DISTINCT component) AS components, count(*) FILTER (n = 1) AS singletons, max(n) AS largest FROM w JOIN k USING (node) JOIN s USING (percent, component) GROUP BY ALL")
+def discovery_classes(spark, sf_dir):
+    """For each identity and class of nodes: nodes, components that hold some, singletons, and the largest component with one."""
+    found = integrity.with_group_sizes(stage(q.all_components(spark, sf_dir), "components"), ["percent", "component"], "n")
+    orders = table(spark, sf_dir, "orders").select((F.col("o_orderkey") * 2 + 1).alias("node"), F.col("o_orderstatus").alias("class"))
+    classes = orders.unionByName(table(spark, sf_dir, "part").select((F.col("p_partkey") * 2).alias("node"), F.col("p_brand").alias("class")))
+    per = found.join(classes, "node").groupBy("percent", "class")
+    return per.agg(F.count("*").alias("nodes"), F.count_distinct("component").alias("components"), F.count_if(F.col("n") == 1).alias("singletons"), F.max("n").alias("largest"))
+
+
+@query(q.NODES + "SELECT count(*) AS nodes, count(*) FILTER (NOT coalesce(qualifies, false)) AS without_self_hit, count(*) FILTER (any_hit AND NOT coalesce(qualifies, false)) AS unqualified FROM (SELECT s_suppkey, bool_or(h.query IS NOT NULL) AS any_hit, bool_or(g.query IS NOT NULL) AS qualifies FROM supplier LEFT JOIN hits h ON h.query = s_suppkey AND h.target = s_suppkey LEFT JOIN good g ON g.query = s_suppkey AND g.target = s_suppkey GROUP BY s_suppkey)")
+def self_hits(spark, sf_dir):
+    """Nodes whose own qualifying hit is missing, before hits become undirected pairs: without any, and with one that doesn't qualify."""
+    nodes = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("node"))
+    return hits.self_hit_counts(nodes, q.node_hits(spark, sf_dir))
+
+
 @query(q.WHOLE + "SELECT percent, count(*) AS components, count(*) FILTER (least <> component) AS wrong_representative, CAST(sum(n) AS BIGINT) AS nodes, CAST(sum(n) - sum(d) AS BIGINT) AS repeated FROM (SELECT percent, component, min(node) AS least, count(*) AS n, count(DISTINCT node) AS d FROM w GROUP BY ALL) GROUP BY percent")
 def partition_invariants(spark, sf_dir):
     """Each node in one component, each component named by its smallest node."""
