@@ -47,7 +47,7 @@ from quernstone.operators.graph import components
 from quernstone.session import stage
 
 #: Bytes of text worked on at once, signatures in a bucket, sets and shingles in a block of a star.
-CHUNK, BUCKET, BLOCK, BLOCK_SHINGLES = 1 << 20, 2_000_000, 512, 1_000_000
+CHUNK, BUCKET, BLOCK, BLOCK_SHINGLES = 1 << 20, 3_000_000, 512, 1_000_000
 #: Signatures of a bucket that are sorted together.
 TOGETHER = 1 << 19
 #: Shingles that a signature of a band's smallest set should hold on average.
@@ -248,7 +248,8 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first[old] = pivots[at[old]]
         pivot = first[np.cumsum(start) - 1]
         # the known signatures stay sorted; only the new ones are put between them
-        known, pivots = np.insert(known, at[~old], own[~old]), np.insert(pivots, at[~old], first[~old])
+        known = np.insert(known, at[~old], own[~old])
+        pivots = np.insert(pivots, at[~old], first[~old])
         differ = pivot != sets
         pairs = np.unique(np.stack([pivot[differ], sets[differ]], axis=1), axis=0).view(np.int64)
         return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["left", "right"])
