@@ -46,7 +46,7 @@ def known_leaks(rows: DataFrame, names: DataFrame, sequences: DataFrame, columns
     """(column, rule, rows): how many rows hold a known name (``names.value``) as a word of its own, or a known sequence inside a run of residues.
 
     Words of the texts meet the names in a join; windows of residues meet the sequences by their first ``ANCHOR`` letters and are then
-    compared whole. So neither side has to fit a task. Sequences shorter than that aren't looked for. Rules without a hit have no row.
+    compared whole. So neither side has to fit a task. Sequences shorter than that aren't looked for.
     """
     from quernstone.session import stage
 
@@ -58,7 +58,10 @@ def known_leaks(rows: DataFrame, names: DataFrame, sequences: DataFrame, columns
     windows = runs.select("row", "column", "run", F.explode(F.array_distinct(F.regexp_extract_all("run", F.lit(f"(?=(.{{{ANCHOR}}}))"), F.lit(1)))).alias("anchor"))
     known = sequences.select("value").filter(F.length("value") >= ANCHOR).distinct().withColumn("anchor", F.substr("value", F.lit(1), F.lit(ANCHOR)))
     held = windows.hint("merge").join(known.hint("merge"), "anchor").filter(F.contains("run", "value")).select("row", "column", F.lit("known_sequence").alias("rule"))
-    return named.unionByName(held).distinct().groupBy("column", "rule").agg(F.count("*").alias("rows"))
+    found = named.unionByName(held).distinct().groupBy("column", "rule").agg(F.count("*").alias("rows"))
+    asked = F.array(*[F.struct(F.lit(c).alias("column"), F.lit(n).alias("rule")) for c in columns for n in ("known_name", "known_sequence")])
+    every = rows.sparkSession.range(1).select(F.inline(asked))  # a row for each column and rule
+    return every.join(found, ["column", "rule"], "left").select("column", "rule", F.coalesce("rows", F.lit(0)).alias("rows"))
 
 
 def forbidden_columns(rows: DataFrame, allowed: Sequence[str]) -> list[str]:

@@ -355,7 +355,7 @@ def leaky(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
     return table(spark, sf_dir, "customer").select(k.alias("k"), F.col("c_name").alias("name"), note.alias("note")), suppliers.filter("s_suppkey % 2 = 0").select(F.col("s_name").alias("value")), runs
 
 
-@query(LEAKY + "SELECT * FROM (" + " UNION ALL ".join(f"SELECT '{c}' AS \"column\", '{n}' AS rule, count(*) FILTER (regexp_matches({c}, '{p}')) AS rows FROM leaky" for c in ("name", "note") for n, p in leaks.RELEASE_RULES.items()) + " UNION ALL SELECT 'note', 'known_name', count(DISTINCT k) FROM (SELECT k, unnest(regexp_extract_all(note, '[A-Za-z0-9_#.:|-]+')) AS value FROM leaky) SEMI JOIN names USING (value) UNION ALL SELECT 'note', 'known_sequence', count(DISTINCT k) FROM leaky JOIN runs ON contains(note, value))")
+@query(LEAKY + "SELECT * FROM (" + " UNION ALL ".join(f"SELECT '{c}' AS \"column\", '{n}' AS rule, count(*) FILTER (regexp_matches({c}, '{p}')) AS rows FROM leaky" for c in ("name", "note") for n, p in leaks.RELEASE_RULES.items()) + "".join(f" UNION ALL SELECT '{c}', 'known_name', count(DISTINCT k) FROM (SELECT k, unnest(regexp_extract_all({c}, '[A-Za-z0-9_#.:|-]+')) AS value FROM leaky) SEMI JOIN names USING (value) UNION ALL SELECT '{c}', 'known_sequence', count(DISTINCT k) FROM leaky JOIN runs ON contains({c}, value)" for c in ("name", "note")) + ")")
 def release_scan(spark, sf_dir):
     """Patterns and known names and sequences over all text columns of a table with leaks of each kind."""
     rows, names, runs = leaky(spark, sf_dir)
