@@ -335,3 +335,36 @@ def test_canonical_text(spark, tmp_path):
     assert tables.read_matrix(spark, str(tmp_path / "m"), "k", "v", 2, 2).count() == 2
     with pytest.raises(ValueError):
         tables.read_matrix(spark, str(tmp_path / "m"), "k", "v", 3)
+
+
+@pytest.mark.parametrize("rest, kind", [(0, "long"), (100, "long"), (1 << 14, "string")])
+def test_components_of_a_large_star_and_paths(spark, rest, kind, monkeypatch):
+    """Joins meet no more rows of a node than it has neighbours in the input, though one component holds nearly all nodes."""
+    import random
+    from collections import Counter
+
+    monkeypatch.setattr(graph, "REST", rest)
+    rng = random.Random(4)
+    tree = [(rng.randrange(max(0, k - 20), k), k) for k in range(1, 1500)]  # one component of low degree
+    edges = tree + [(2000 + k, 2001 + k) for k in range(0, 90) if k % 30] + [(5, 5), (None, 3), (2500, 2501), (2501, 2500)]
+    staged, kept = [], graph.stage
+    monkeypatch.setattr(graph, "stage", lambda df, label, *held: staged.append((label, out := kept(df, label, *held))) or out)
+    name = (lambda x: x) if kind == "long" else (lambda x: None if x is None else f"{x:05d}")
+    frame = spark.createDataFrame([(name(a), name(b)) for a, b in edges], f"left {kind}, right {kind}")
+    got = dict(rows(graph.components(frame), "node", "component"))
+    root = {}
+    for a, b in edges:
+        if a is not None and a != b:
+            root.setdefault(a, a), root.setdefault(b, b)
+    for _ in range(2000):
+        if not any(root[a] != root[b] for a, b in edges if a is not None and a != b):
+            break
+        for a, b in edges:
+            if a is not None and a != b:
+                root[a] = root[b] = min(root[a], root[b])
+    assert got == {name(k): name(v) for k, v in root.items()}
+    first = next(out for label, out in staged if label == "moves")
+    degree = Counter(x for e in edges for x in e)
+    most = Counter(r["to"] for r in first.collect()).most_common(1)[0][1]
+    assert rest == 1 << 14 or most <= max(degree.values()) + 1
+    assert len([label for label, _ in staged if label == "moves"]) < 16
