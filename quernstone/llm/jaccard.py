@@ -9,9 +9,9 @@ of a part is a signature: linked sets agree on some choice in at least e + 1 par
 signature without shingles says little; it is given only by sets that have such in more than e parts,
 since with at most e of them some agreed signature has content. e is set by the band, not by the data.
 
-Sets that share a signature are candidates. Each signature has one pivot; a pivot's star is all sets that
-share a signature with it there, so every linked pair lies in some star, and stars of different pivots
-stay apart. Most sets of a star only have a passage in common with others, so before any text is sent, sets
+Sets that share a signature are candidates. Each signature has one star, which all sets that have it are in, so
+every linked pair lies in some star; stars of different pivots stay apart. Signatures are dealt to buckets by
+band, so two sets meet in few buckets. Most sets of a star only have a passage in common with others, so before any text is sent, sets
 are compared by sketches: the parity of how many shingles fall on each of some bits (``sketches``). Sets
 differ in at least as many shingles as sketches in bits, so no linked pair is missed; the sets that sketches
 leave together, over all stars, make one group. Stars over ``SKETCHED`` sets, in which comparing all sketches would
@@ -159,10 +159,18 @@ class Bands:
     def of(self, size: np.ndarray) -> np.ndarray:
         return np.searchsorted(np.array(self.ends), size)
 
+    def signed(self, sets: dict[int, int]) -> np.ndarray:
+        """At most how many signatures are given for each band, from how many sets each has; a set signs for its own band and the next."""
+        out = np.zeros(len(self.bands))
+        for number, n in sets.items():
+            for k in (number, number + 1):
+                out[k] += n * self.bands[k].parts * len(self.bands[k].choices)
+        return out
 
-def signatures(h: np.ndarray, row: np.ndarray, size: np.ndarray, bands: Bands) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit signatures and their rows; rows of size 0 have none."""
-    out, rows = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+
+def signatures(h: np.ndarray, row: np.ndarray, size: np.ndarray, bands: Bands) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """64-bit signatures, their rows and the bands they are given for; rows of size 0 have none."""
+    out, rows, tags = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     own = bands.of(size)
     numbers = np.unique(own[size > 0])
     if len(numbers) > 1:
@@ -194,13 +202,17 @@ def signatures(h: np.ndarray, row: np.ndarray, size: np.ndarray, bands: Bands) -
             chosen += mix64(mix64(tag)[:, None] + np.arange(len(band.choices), dtype=np.uint64)[None, :])
             out.append(mix64(chosen[keep]))
             rows.append(np.repeat(doc, keep.reshape(len(doc), -1).sum(axis=1)))
-    return np.concatenate(out), np.concatenate(rows)
+            tags.append(np.full(len(rows[-1]), number + step))
+    return np.concatenate(out), np.concatenate(rows), np.concatenate(tags)
 
 
 SIGNED = pa.schema([("bucket", pa.int32()), ("chunk", pa.int64()), *[(c, pa.binary()) for c in ("keys", "sets", "sizes", "counts")]])
 
 
-def _sign(words: int, percent: int, largest: int, buckets: int):
+def _sign(words: int, percent: int, largest: int, starts: np.ndarray):
+    """Packed signatures by bucket. The bands lie one after the other on a line of buckets, from ``starts`` on, and a signature falls on
+    a place of its band's stretch, so a set's signatures, and those two sets share, lie in the few buckets of two bands."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands = Bands(percent, largest)
         for chunk, rows in zip(chunk_numbers(), chunked(batches, CHUNK)):
@@ -210,10 +222,11 @@ def _sign(words: int, percent: int, largest: int, buckets: int):
             once[np.unique(a, return_index=True)[1]] = True  # equal sets of a chunk sign once
             once &= size > 0
             kept = once[row]
-            sig, of = signatures(h[kept], row[kept], np.where(once, size, 0), bands)
-            bucket = (sig % np.uint64(buckets)).astype(np.int64)
+            sig, of, tag = signatures(h[kept], row[kept], np.where(once, size, 0), bands)
+            place = (sig >> np.uint64(40)).astype(np.float64) / (1 << 24)
+            bucket = (starts[tag] + (starts[tag + 1] - starts[tag]) * place).astype(np.int64)
             order = np.argsort(bucket * rows.num_rows + of, kind="stable")
-            sig, of, bucket = sig[order] // np.uint64(buckets), of[order], bucket[order]
+            sig, of, bucket = sig[order], of[order], bucket[order]
             cuts = np.flatnonzero(np.diff(bucket, prepend=-1))
             for begin, end in zip(cuts, np.append(cuts[1:], len(bucket))):
                 own, counts = np.unique(of[begin:end], return_counts=True)
@@ -225,33 +238,69 @@ def _sign(words: int, percent: int, largest: int, buckets: int):
 
 
 def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs a signature's pivot with every other set that has it; rows come sorted by bucket and chunk.
+    """Puts all sets that have a signature in common into one star, as (pivot, set); rows come sorted by bucket and chunk.
 
     The pivot is the first set seen, of those seen at once the largest: chunks come in one order to all
-    buckets, so the signatures of a group of like sets mostly have one pivot.
+    buckets, so the signatures of a group of like sets mostly have one pivot. A set's main star in a bucket is that
+    of the pivot it first meets most often. Once a second set has a signature, the main star of most of its holders, if there
+    is such, is taken for it, and only the others make rows.
     """
-    bucket, known, pivots = None, np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+    none = np.zeros(0, np.uint64)
+    # by signature, ascending: its star, and whether two sets have it; by set, ascending: its main star
+    bucket, known, pivots, several, seen, mains = None, none, none, np.zeros(0, bool), none, none
     held, size = [], 0
 
     def flush():
-        nonlocal known, pivots, held, size
+        nonlocal known, pivots, several, seen, mains, held, size
         keys, sets, sizes = (np.concatenate([x[k] for x in held]) for k in range(3))
         held, size = [], 0
         order = np.lexsort((sets, -sizes, keys))
         keys, sets = keys[order], sets[order]
-        start = np.concatenate([[True], keys[1:] != keys[:-1]])
-        own, first = keys[start], sets[start]
+        begin = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+        group = np.repeat(np.arange(len(begin)), np.diff(begin, append=len(keys)))
+        own, pivot = keys[begin], sets[begin]
         at = np.searchsorted(known, own)
         old = np.zeros(len(own), bool)
         inside = at < len(known)
         old[inside] = known[at[inside]] == own[inside]
-        first[old] = pivots[at[old]]
-        pivot = first[np.cumsum(start) - 1]
+        pivot[old] = pivots[at[old]]
+        used = np.zeros(len(own), bool)
+        used[old] = several[at[old]]
+
+        names = np.unique(sets)
+        names = names[~np.isin(names, seen, assume_unique=True)]
+        main = names.copy()
+        meets = np.flatnonzero(pivot[group] != sets)
+        meets = meets[np.isin(sets[meets], names)]
+        if len(meets):
+            pairs, times = np.unique(np.stack([sets[meets], pivot[group[meets]]], axis=1), axis=0, return_counts=True)
+            best = np.lexsort((pairs[:, 1], -times, pairs[:, 0]))
+            best = best[np.diff(pairs[best, 0], prepend=~pairs[best[:1], 0]) != 0]
+            main[np.searchsorted(names, pairs[best, 0])] = pairs[best, 1]
+        put = np.searchsorted(seen, names)
+        seen, mains = np.insert(seen, put, names), np.insert(mains, put, main)
+
+        mine, theirs = mains[np.searchsorted(seen, sets)], mains[np.searchsorted(seen, pivot)]
+        shares = np.logical_or.reduceat(sets != pivot[group], begin)
+        # votes of the holders for their main stars, that of the first holder too, where a star is yet to be chosen
+        open_, waits = np.flatnonzero((shares & ~used)[group]), np.flatnonzero(shares & ~used & old)
+        voted, votes = np.append(group[open_], waits), np.append(mine[open_], theirs[waits])
+        by = np.lexsort((votes, voted))
+        voted, votes = voted[by], votes[by]
+        run = np.flatnonzero((np.diff(voted, prepend=-1) != 0) | (np.diff(votes, prepend=~votes[:1]) != 0))
+        most = 2 * np.diff(run, append=len(voted)) > np.bincount(voted, minlength=len(own))[voted[run]]
+        first = pivot.copy()
+        pivot[voted[run[most]]] = votes[run[most]]
+        outvoted = waits[(pivot[waits] != first[waits]) & (pivot[waits] != theirs[waits])]
+        used |= shares
         # the known signatures stay sorted; only the new ones are put between them
-        known = np.insert(known, at[~old], own[~old])
-        pivots = np.insert(pivots, at[~old], first[~old])
-        differ = pivot != sets
-        pairs = np.unique(np.stack([pivot[differ], sets[differ]], axis=1), axis=0).view(np.int64)
+        pivots[at[old]], several[at[old]] = pivot[old], used[old]
+        known, pivots, several = (np.insert(x, at[~old], y[~old]) for x, y in ((known, own), (pivots, pivot), (several, used)))
+        star = pivot[group]
+        joins = used[group] & (star != sets) & (star != mine)
+        other = main != names
+        left, right = np.concatenate([star[joins], main[other], pivot[outvoted]]), np.concatenate([sets[joins], names[other], first[outvoted]])
+        pairs = np.unique(np.stack([left, right], axis=1), axis=0).view(np.int64)
         return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["left", "right"])
 
     for batch in batches:
@@ -259,7 +308,7 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if held and (b != bucket or size > TOGETHER):
                 yield flush()
             if b != bucket:
-                bucket, known, pivots = b, np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+                bucket, known, pivots, several, seen, mains = b, none, none, np.zeros(0, bool), none, none
             raw = np.frombuffer(keys.as_buffer(), np.uint8).reshape(-1, 5)
             wide = np.zeros((len(raw), 8), np.uint8)
             wide[:, :5] = raw
@@ -491,11 +540,14 @@ def _linked(docs: DataFrame, words: int, percent: int, id_col: str, text_col: st
     rows = with_row_key(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), "doc_id", "text")
     id_type = rows.schema["doc_id"].dataType.simpleString()
     known = stage(rows.select("doc_id", "_h", "text").mapInArrow(_described(words, percent), f"doc_id {id_type}, _h long, n long, ka long, kb long, sketch binary"), "jaccard-sets")
-    whole = known.agg(F.max("n").alias("largest"), F.sum("n").alias("total")).first()
-    largest, total = int(whole["largest"] or 0), int(whole["total"] or 0)
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * total // BUCKET)
-
-    signed = rows.select("text").mapInArrow(_sign(words, percent, largest, buckets), "bucket int, chunk long, keys binary, sets binary, sizes binary, counts binary")
+    largest = int(known.agg(F.max("n")).first()[0] or 0)
+    bands = Bands(percent, largest)
+    band = F.size(F.filter(F.array(*[F.lit(x) for x in bands.ends]), lambda x: x < F.col("n")))
+    signed = bands.signed({r["band"]: r["count"] for r in known.filter("n > 0").groupBy(band.alias("band")).count().collect()})
+    starts = np.concatenate([[0], np.cumsum(signed / BUCKET)])
+    buckets = int(starts[-1]) + 1
+
+    signed = rows.select("text").mapInArrow(_sign(words, percent, largest, starts), "bucket int, chunk long, keys binary, sets binary, sizes binary, counts binary")
     stars = signed.repartitionById(buckets, F.col("bucket")).sortWithinPartitions("bucket", "chunk").mapInArrow(trimmed(_stars), "left long, right long")
     stars = stage(stars.distinct(), "jaccard-stars")
 
@@ -503,7 +555,8 @@ def _linked(docs: DataFrame, words: int, percent: int, id_col: str, text_col: st
     nodes = known.filter("n > 0").groupBy("ka", "kb", "n").agg(F.min("doc_id").alias("rep_id"), F.min(F.struct(F.col("doc_id").isNull().alias("u"), F.col("doc_id").alias("i"), F.col("_h").alias("h"))).alias("rep"), F.first("sketch").alias("sketch"))
     nodes = stage(nodes.withColumn("node", F.monotonically_increasing_id()), "jaccard-nodes")
     members = stars.select(F.col("left").alias("star"), F.col("right").alias("ka")).unionByName(stars.select(F.col("left").alias("star"), F.col("left").alias("ka")).distinct())
-    members = _candidates(members.join(nodes.select("ka", "node", "n"), "ka").drop("ka"), nodes, percent)
+    # written once, as it is read both for the sizes of stars and for the sets in them
+    members = _candidates(stage(members.join(nodes.select("ka", "node", "n"), "ka").drop("ka"), "jaccard-joined"), nodes, percent)
     members = stage(members.join(nodes.select("node", F.col("rep.i").alias("_i"), F.col("rep.h").alias("_h")), "node"), "jaccard-members")
     sizes = stage(members.groupBy("star").agg(F.count("*").alias("m"), F.sum("n").alias("shingles"), F.min("node").alias("least")), "jaccard-sizes")
     blocks = F.ceil(F.greatest(F.col("m") / BLOCK, F.col("shingles") / BLOCK_SHINGLES)).cast("int")
