@@ -15,7 +15,7 @@ from quernstone.functions.records import ALPHABET, once
 def composition(sequence: Column, alphabet: str = ALPHABET) -> Column:
     """Relative frequency of each residue, in the alphabet's order; null for an empty sequence."""
     def shares(seq: Column) -> Column:
-        return F.when(F.length(seq) > 0, F.array(*[(F.length(seq) - F.length(F.translate(seq, a, ""))) / F.length(seq) for a in alphabet]))
+        return F.when(F.length(seq) > 0, F.array(*[(F.length(seq) - F.length(F.replace(seq, F.lit(a), F.lit("")))) / F.length(seq) for a in alphabet]))
 
     return once(sequence, shares)
 

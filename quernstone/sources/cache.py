@@ -54,6 +54,9 @@ class FeatureCache:
         at = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
         return at.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(at)
 
+    def _keys(self) -> DataFrame:
+        return self.spark.read.schema(SCHEMA).parquet(self.path).select("content", "shard")
+
     def read(self, wanted: DataFrame | None = None) -> DataFrame:
         """Cached rows, of ``wanted.content`` only; a vector that doesn't agree with its seal is an error when it is read.
 
@@ -64,7 +67,7 @@ class FeatureCache:
         rows = self.spark.read.schema(SCHEMA).parquet(self.path)
         if wanted is not None:
             # the shard is in the join, so only partitions that are asked for are opened
-            rows = rows.join(wanted.select("content", "shard").distinct(), ["content", "shard"], "left_semi").select(rows.columns)
+            rows = rows.join(wanted.select("content", "shard"), ["content", "shard"], "left_semi").select(rows.columns)
         once = rows.groupBy("content", "shard").agg(F.min(F.struct("width", "indices", "values", "seal")).alias("r")).select("content", "r.*", "shard")
         good = F.col("seal") == _seal(F.col("content"), F.col("width"), F.col("indices"), F.col("values"))
         wrong = F.raise_error(F.concat(F.lit("cached vector does not agree with its digest: "), F.col("content")))
@@ -78,7 +81,8 @@ class FeatureCache:
         content = F.sha2(F.col(source).cast("binary"), 256)
         keyed = records.withColumn("content", content).withColumn("shard", F.substring("content", 1, 2))
         asked = stage(keyed.filter("content is not null").groupBy("content", "shard").agg(F.min(source).alias(source)), "cache-asked")
-        misses = stage(asked.join(self.read(asked).select("content"), "content", "left_anti"), "cache-misses")
+        # only the keys of cached rows are read here; their vectors are read, and checked, once
+        misses = stage(asked.join(self._keys(), ["content", "shard"], "left_anti"), "cache-misses") if self._exists() else asked
         n = misses.count()
         if n:
             made = compute(misses.select("content", source))

@@ -122,3 +122,18 @@ def test_more_buckets_than_spark_allows(spark, monkeypatch):
     monkeypatch.setattr(session, "MOST_BUCKETS", 3)
     made = session.stage_by(rows, "wide", 1_000_000, ["t"])
     assert sorted(r["id"] for r in made.collect()) == list(range(100))
+
+
+def test_cached_vectors_are_read_once(spark, tmp_path, monkeypatch):
+    """Misses are found by keys: vectors of cached rows are read for the result alone."""
+    from quernstone.operators.features import composition
+    from quernstone.sources.cache import FeatureCache
+
+    cache = FeatureCache(spark, str(tmp_path), "aac", {"alphabet": 20})
+    reads, whole = [], FeatureCache.read
+    monkeypatch.setattr(FeatureCache, "read", lambda self, wanted=None: reads.append(1) or whole(self, wanted))
+    rows = spark.createDataFrame([(1, "ACDA"), (2, "WYWY")], "id int, s string")
+    for want in ({"hits": 0, "misses": 2}, {"hits": 2, "misses": 0}):
+        found, use = cache.features(rows, "s", lambda x: x.select("content", composition(F.col("s")).alias("vector")))
+        assert use == want and found.count() == 2
+    assert len(reads) == 2
